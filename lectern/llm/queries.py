@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.bpe import bpe_digests
 from lectern.llm.common import table
+from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.html_extract import extract
 from lectern.llm.ngram_join import jaccard_components
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 #: Words as the operators take them: white space is 0x20 and 0x09-0x0D, A-Z are lowered.
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
-ORACLES = {}
+ORACLES = {
+    "op2_exact_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW g AS (PARTITION BY t)
+    """,
+}
