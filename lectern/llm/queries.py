@@ -11,6 +11,7 @@ from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract
 from lectern.llm.ngram_join import jaccard_components
 from lectern.llm.secret_scan import scan
+from lectern.llm import url_filter
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,14 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 #: Words as the operators take them: white space is 0x20 and 0x09-0x0D, A-Z are lowered.
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES = {
+    "op10_url_filter": url_filter.ORACLE,
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
