@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
@@ -41,7 +41,8 @@ def _needed(n, percent: int):
 
 
 def _slack(n):
-    return 1 + n // 40
+    """How many prefix shingles two linked sets share at least, by the size of one of them."""
+    return 1 + n // 12
 
 
 def _signatures(size: int, percent: int):
@@ -188,6 +189,14 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         before, posts = posts, durable(met.join(enough, "id", "left_semi"), what)
         drop_durable(before)
 
+    # Of a class's met shingles a linked one shares `least`, so all but the last least - 1 in any one order must hold one
+    # of these; the order is rare ones first, so lines that very many texts share gather nothing.
+    often = posts.groupBy("h").agg(F.count("*").alias("c"))
+    place = Window.partitionBy("id").orderBy("c", "h")
+    rare = posts.join(often, "h").withColumn("place", F.row_number().over(place)).withColumn("of", F.count("*").over(Window.partitionBy("id")))
+    before, posts = posts, durable(rare.where("place <= of - least + 1").select("id", "h"), "rare")
+    drop_durable(before)
+
     star = posts.join(posts.groupBy("h").agg(F.min("id").alias("b")), "h").select(F.col("id").alias("a"), "b").where("a != b").distinct()
     where = connected_components(star).withColumnRenamed("node", "id").withColumnRenamed("component", "gathering")
     where = where.join(classes.select(F.col("rep").alias("id"), "n", "copies"), "id")
@@ -210,5 +219,5 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 
 def _slack_sql(n: str) -> str:
-    return f"1 + floor({n} / 40)"
+    return f"1 + floor({n} / 12)"
 
