@@ -9,6 +9,7 @@ from lectern.llm.bpe import bpe_digests
 from lectern.llm.common import table
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract
+from lectern.llm.lm_scoring import lm_scores
 from lectern.llm.ngram_join import jaccard_components
 from lectern.llm.secret_scan import scan
 from lectern.llm import url_filter
@@ -22,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,6 +42,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
