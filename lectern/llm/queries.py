@@ -11,6 +11,7 @@ from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract
 from lectern.llm.lm_scoring import lm_scores
 from lectern.llm.ngram_join import jaccard_components
+from lectern.llm.quality import quality
 from lectern.llm.secret_scan import scan
 from lectern.llm import url_filter
 
@@ -27,6 +28,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_quality_rules": op4_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
