@@ -10,6 +10,7 @@ from lectern.llm.common import table
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract
 from lectern.llm.lm_scoring import lm_scores
+from lectern.llm.mixing import mix
 from lectern.llm.ngram_join import jaccard_components
 from lectern.llm.quality import quality
 from lectern.llm.secret_scan import scan
@@ -36,6 +37,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
