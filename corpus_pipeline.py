@@ -1,14 +1,57 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
+documents. Rows without a doc_id leave at the n-gram stage, whose decisions are joined back by it.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.bpe import bpe_digests
+from lectern.llm.common import lower_ascii, shared_dir, table
+from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.mixing import mixed
+from lectern.llm.ngram_join import jaccard_components
+from lectern.llm.quality import quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality(docs, table(spark, sf_dir, "labels"), whole=True)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id."""
+    kept = exact_dedup(docs, keep="smallest").where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.withColumn("_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    # A row that repeats an id and a text stays once; the join has dealt such rows to one task already.
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_sha"] == kept["sha"]), "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more connect, the one with the smallest doc_id."""
+    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the domains to their targets."""
+    return mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of what they decode to."""
+    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-from lectern.llm.common import shared_dir, table
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("mixing", mixing), ("byte_bpe", bpe)]
 
-STAGES: list = []
+#: Perplexity, fitted rates and merges can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ from lectern.llm.bpe import bpe_digests
 from lectern.llm.common import table
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_extract import extract
+from lectern.llm.licenses import license_scan
 from lectern.llm.lm_scoring import lm_scores
 from lectern.llm.mixing import mix
 from lectern.llm.ngram_join import jaccard_components
@@ -33,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
