@@ -58,3 +58,13 @@ def partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deals rows out by a hash of the columns."""
     return df.repartition(partitions(df.sparkSession), *cols)
+
+
+def doubles(values: list[float]) -> Column:
+    """A literal array of numbers, parsed at once."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
+
+
+def strings(values: list[str]) -> Column:
+    """A literal array of strings."""
+    return F.split(F.lit("\x00".join(values)), "\x00", -1)

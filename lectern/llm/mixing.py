@@ -13,7 +13,7 @@ from math import exp, log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable, lower_ascii
+from lectern.llm.common import doubles, durable, lower_ascii, strings
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that each domain should have after mixing.
@@ -84,8 +84,8 @@ def _posteriors(rows: DataFrame, prior: list[float], weight: dict[str, list[floa
         total = sum(exp(x) for x in prior)
         return rows.withColumn("p", F.array(*[F.lit(exp(x) / total) for x in prior]))
     names = sorted(weight)
-    found = F.array_intersect(_tokens(F.col("text")), F.array(*[F.lit(w) for w in names]))
-    place = F.transform("found", lambda w: F.array_position(F.array(*[F.lit(w_) for w_ in names]), w).cast("int"))
+    found = F.array_intersect(_tokens(F.col("text")), strings(names))
+    place = F.transform("found", lambda w: F.array_position(strings(names), w).cast("int"))
     rows = rows.withColumn("found", found).withColumn("found", place)
     for k in range(len(DOMAINS)):
         rows = rows.withColumn(f"s{k}", _total(F.col("found"), prior[k], [weight[w][k] for w in names]))
@@ -96,7 +96,7 @@ def _posteriors(rows: DataFrame, prior: list[float], weight: dict[str, list[floa
 
 
 def _total(places: Column, start: float, values: list[float]) -> Column:
-    table = F.array(*[F.lit(float(x)) for x in values])
+    table = doubles(values)
     return F.aggregate(places, F.lit(float(start)), lambda acc, i: acc + F.get(table, i - 1))
 
 
@@ -108,7 +108,7 @@ def rate(p: Column, pushes: list[list[float]], looks: list[float]) -> Column:
     """The rate after the given steps: a fold of r <- max(0, y + p . push), y <- r + look * (r - previous r)."""
     if not pushes:
         return F.lit(1.0)
-    steps = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in g]).alias("g"), F.lit(float(m)).alias("m")) for g, m in zip(pushes, looks, strict=True)])
+    steps = F.array(*[F.struct(doubles(g).alias("g"), F.lit(float(m)).alias("m")) for g, m in zip(pushes, looks, strict=True)])
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -174,8 +174,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The documents drawn at their rates, with all their columns: a row of c copies appears c times."""
     prior, weight = train(docs, labels, id, text)
     src = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id).alias("id"))
-    members = durable(_posteriors(src.select("text").withColumn("n", words_of(F.col("text"))), prior, weight).select("n", "p"), "members")
-    pushes, looks = fit(members, targets)
+    # Written once, so that the texts are read and judged once; the steps read two narrow columns of it.
+    members = durable(_posteriors(src.withColumn("n", words_of(F.col("text"))), prior, weight).drop("text"), "members")
+    pushes, looks = fit(members.select("n", "p"), targets)
     r = rate(F.col("p"), pushes, looks)["r"] if pushes else F.lit(1.0)
-    drawn = _posteriors(src, prior, weight).withColumn("copies", _copies(r, F.col("id"))).where("copies > 0")
+    drawn = members.select("row", _copies(r, F.col("id")).alias("copies")).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")

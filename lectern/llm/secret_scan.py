@@ -11,6 +11,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import doubles
+
 
 # The base patterns. Groups: the whole match.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -105,7 +107,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ratio: float =
     span touches. Null counts as the empty text; null and repeated ids pass through; an empty table gives no rows;
     other columns are ignored. There is no shuffle apart from the training sample's.
     """
-    table = train(docs, id, text)
+    values = doubles(train(docs, id, text))
     t = F.col("t")
     at = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kinds = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("markov", CANDIDATE)]
@@ -120,7 +122,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ratio: float =
     )
     at = at.withColumn("base", F.concat("assign", "access", "hex"))
     free = F.filter("markov", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    at = at.withColumn("table", F.lit(table)).withColumn("markov", F.filter(free, lambda x: _ratio(x["m"], F.col("table")) >= ratio))
+    at = at.withColumn("markov", F.filter(free, lambda x: _ratio(x["m"], values) >= ratio))
     all_ = F.concat("base", "markov")
     return at.select(
         F.col("id").alias(id),
