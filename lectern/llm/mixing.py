@@ -24,7 +24,7 @@ SAMPLE_ROWS, FEATURES = 12_000, 300
 LEAST = 6
 #: Chi-squared that a feature needs.
 EVIDENCE = 60.0
-#: Steps of the descent at most, and the relative distance from the targets at which it ends.
+#: Steps of the descent at most, and the relative distance from the targets at which it ends (or a tenth of it from the step before).
 STEPS, CLOSE = 40, 0.002
 #: Rates as near to 1 as this count as 1 when rows are drawn.
 WHOLE = 0.15
@@ -119,7 +119,8 @@ def rate(p: Column, pushes: list[list[float]], looks: list[float]) -> Column:
 
 
 def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[list[list[float]], list[float]]:
-    """The steps' pushes and looks, from members (n, p). The target total keeps as many tokens of the first domain as there are.
+    """The steps' pushes and looks, from members (n, p). The target total keeps as many tokens of the first
+    domain as there are; a domain that has fewer tokens than its target is left as it is rather than repeated.
 
     A domain's distance counts relative to the root w of its tokens, and steps are scaled by 1 / n of each document. The
     curvature is then that of sum n p p' / w w', near 1 for sharp memberships, and the step length is the inverse of a
@@ -130,17 +131,19 @@ def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tu
     first = members.agg(*[F.sum(F.col("n") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("n") * p[i] * p[j]).alias(f"q{i}{j}") for i in range(k) for j in range(k)]).first()
     if not first.s0:
         return [], []
-    goal = [targets[x] * first.s0 / targets[DOMAINS[0]] for x in DOMAINS]
+    goal = [min(targets[x] * first.s0 / targets[DOMAINS[0]], first[f"s{i}"]) for i, x in enumerate(DOMAINS)]
     w = [max(first[f"s{i}"], 1e-9) ** 0.5 for i in range(k)]
     reach = max(sum(first[f"q{i}{j}"] / (w[i] * w[j]) for j in range(k)) for i in range(k))
     pushes: list[list[float]] = []
     looks: list[float] = []
-    t = 1.0
+    t, before = 1.0, None
     for _ in range(steps):
         state = rate(F.col("p"), pushes, looks) if pushes else F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
         got = members.withColumn("z", state).agg(*[F.sum(F.col("n") * F.col("z.y") * p[i]).alias(f"y{i}") for i in range(k)], *[F.sum(F.col("n") * F.col("z.r") * p[i]).alias(f"r{i}") for i in range(k)]).first()
-        if pushes and max(abs(got[f"r{i}"] - goal[i]) for i in range(k)) <= CLOSE * min(g for g in goal if g > 0):
+        off = [abs(got[f"r{i}"] - goal[i]) / max(goal[i], 1.0) for i in range(k)]
+        if max(off) <= CLOSE or before is not None and max(abs(a - b) for a, b in zip(off, before, strict=True)) <= CLOSE / 10:
             break
+        before = off
         pushes.append([(goal[i] - got[f"y{i}"]) / (w[i] * w[i] * reach) for i in range(k)])
         after = (1 + sqrt(1 + 4 * t * t)) / 2
         looks.append((t - 1) / after)
