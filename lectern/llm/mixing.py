@@ -24,7 +24,7 @@ SAMPLE_ROWS, FEATURES = 12_000, 300
 LEAST = 6
 #: Chi-squared that a feature needs.
 EVIDENCE = 60.0
-#: Steps of the descent at most, and the relative distance from the targets at which it ends (or a tenth of it from the step before).
+#: Steps of the descent at most, and the relative distance from the targets at which it ends (or half of it from the step before).
 STEPS, CLOSE = 40, 0.002
 #: Rates as near to 1 as this count as 1 when rows are drawn.
 WHOLE = 0.15
@@ -141,7 +141,7 @@ def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tu
         state = rate(F.col("p"), pushes, looks) if pushes else F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
         got = members.withColumn("z", state).agg(*[F.sum(F.col("n") * F.col("z.y") * p[i]).alias(f"y{i}") for i in range(k)], *[F.sum(F.col("n") * F.col("z.r") * p[i]).alias(f"r{i}") for i in range(k)]).first()
         off = [abs(got[f"r{i}"] - goal[i]) / max(goal[i], 1.0) for i in range(k)]
-        if max(off) <= CLOSE or before is not None and max(abs(a - b) for a, b in zip(off, before, strict=True)) <= CLOSE / 10:
+        if max(off) <= CLOSE or before is not None and max(abs(a - b) for a, b in zip(off, before, strict=True)) <= CLOSE / 2:
             break
         before = off
         pushes.append([(goal[i] - got[f"y{i}"]) / (w[i] * w[i] * reach) for i in range(k)])
