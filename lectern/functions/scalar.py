@@ -202,7 +202,7 @@ THEME_BYTES = [0xDD, 0xDC, 0xDF, 0xDE, 0xD4, 0xD5, 0xD9, 0xD7, 0xD8, 0xD6]
 
 def theme_encode(index: Column, amount: Column) -> Column:
     """Signed 32-bit theme colour of an index from 0 to 9; null for others. Shade in the second lowest byte, tint in the lowest, 255 for unchanged."""
-    byte = F.element_at(F.array(*[F.lit(x) for x in THEME_BYTES]), F.when((index >= 0) & (index <= 9), index + 1).cast("int"))
+    byte = F.when((index >= 0) & (index <= 9), F.get(F.array(*[F.lit(x) for x in THEME_BYTES]), index.cast("int")))
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 255 + 0.5).cast("int")))
     shade = F.when(amount < 0, clamp(amount + 1)).otherwise(255)
     light = F.when(amount > 0, clamp(1 - amount)).otherwise(255)

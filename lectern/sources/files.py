@@ -16,10 +16,12 @@ CATALOG = ["id", "title", "author", "printing_place", "printing_year", "pages",
 
 def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     """A headerless catalog: rows of under 7 fields or with a blank title are left out, further fields are ignored."""
-    names = [*CATALOG, "more"]
-    raw = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").schema(", ".join(f"{n} string" for n in names)).csv(path, header=False)
-    text = raw.select(*[F.col(n) for n in CATALOG])
-    whole = text.where("pages is not null and coalesce(trim(title), '') <> ''")
+    schema = ", ".join(f"{n} string" for n in [*CATALOG, "_other"])
+    raw = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_other").schema(schema).csv(path, header=False)
+    # _other holds a record with another number of fields; the separators outside of quotes tell more from fewer.
+    bare = F.regexp_replace("_other", r'"(?:[^"]|"")*"', "")
+    enough = F.col("_other").isNull() | (F.regexp_count(bare, F.lit(",")) + 1 >= len(CATALOG))
+    whole = raw.where(enough & (F.coalesce(F.trim("title"), F.lit("")) != "")).select(*CATALOG)
     return whole.withColumn("tags", tag_separator(F.coalesce("tags", F.lit(""))))
 
 
