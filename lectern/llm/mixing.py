@@ -13,13 +13,13 @@ from math import exp, log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doubles, durable, lower_ascii, strings
+from lectern.llm.common import doubles, durable, strings
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that each domain should have after mixing.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
 #: Labelled rows that the classifier is fitted on, and features that it uses, at most.
-SAMPLE_ROWS, FEATURES = 12_000, 300
+SAMPLE_ROWS, FEATURES = 12_000, 100
 #: Documents of the sample that a feature needs.
 LEAST = 6
 #: Chi-squared that a feature needs.
@@ -30,22 +30,18 @@ STEPS, CLOSE = 40, 0.002
 WHOLE = 0.15
 
 
-def _tokens(text: Column) -> Column:
-    """Distinct words of a text without outer punctuation, and its shape: steps of how many symbols and capital runs it has by word."""
-    words = F.split(lower_ascii(text), r"[\x09-\x0D\x20.,;:!?\"()]+", -1)
-    n = F.greatest(F.size(words), F.lit(1))
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    step = lambda name, x, cuts: F.concat(F.lit(f"#{name}="), sum(((x > c).cast("int") for c in cuts), F.lit(0)).cast("string"))
-    shape = F.array(
-        step("symbols", share("[#*$%&|<>]"), (0.02, 0.1, 0.4, 1.0)),
-        step("capitals", share("[A-Z]{3,}|[A-Z]+!!"), (0.05, 0.2, 0.5)),
-    )
-    return F.array_distinct(F.concat(words, shape))
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows with `text` get their words (without outer punctuation) and counts, as columns of their own, so that each is worked out once."""
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    rows = rows.withColumns({"words": F.split(F.lower("text"), r"[\x09-\x0D\x20.,;:!?\"()]+", -1), "symbols": count("[#*$%&|<>]"), "capitals": count("[A-Z]{3,}")})
+    blank = (F.get("words", F.lit(0)) == "").cast("long"), ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("long")
+    return rows.withColumn("n", F.size("words") - blank[0] - blank[1])
 
 
-def words_of(text: Column) -> Column:
-    """Number of words: runs of characters other than 0x20 and 0x09-0x0D."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def _shape() -> Column:
+    """Steps of how many symbols and capital runs a measured text has by word."""
+    step = lambda name, cuts: F.concat(F.lit(f"#{name}="), sum(((F.col(name) > c * F.col("n")).cast("int") for c in cuts), F.lit(0)).cast("string"))
+    return F.array(step("symbols", (0.02, 0.1, 0.4, 1.0)), step("capitals", (0.05, 0.2, 0.5)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[float], dict[str, list[float]]]:
@@ -54,7 +50,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[
     known = labels.select(F.col(id).alias("id"), domain.alias("domain")).where("id is not null and domain is not null").dropDuplicates(["id"])
     known = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE_ROWS)
     sample = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(known), "id")  # SAMPLE_ROWS ids at most
-    sample = durable(sample.select("domain", _tokens(F.col("t")).alias("tokens")), "mixing-sample")
+    sample = _measured(sample.select("domain", F.col("t").alias("text")))
+    sample = durable(sample.select("domain", F.array_distinct(F.concat("words", _shape())).alias("tokens")), "mixing-sample")
     size = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     rows = [size.get(k, 0) for k in range(len(DOMAINS))]
     prior = [log((x + 1) / (sum(rows) + len(rows))) for x in rows]
@@ -79,20 +76,20 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[
 
 
 def _posteriors(rows: DataFrame, prior: list[float], weight: dict[str, list[float]]) -> DataFrame:
-    """rows with `text` get `p`, in steps so that each is evaluated once."""
+    """rows with `text` get `n` (words) and `p`, in steps so that each is evaluated once."""
     if not weight:
         total = sum(exp(x) for x in prior)
-        return rows.withColumn("p", F.array(*[F.lit(exp(x) / total) for x in prior]))
+        return _measured(rows).drop("words", "symbols", "capitals").withColumn("p", F.array(*[F.lit(exp(x) / total) for x in prior]))
     names = sorted(weight)
-    found = F.array_intersect(_tokens(F.col("text")), strings(names))
+    rows = _measured(rows).withColumn("found", F.concat(F.array_intersect("words", strings(names)), F.array_intersect(_shape(), strings(names)))).drop("words")
     place = F.transform("found", lambda w: F.array_position(strings(names), w).cast("int"))
-    rows = rows.withColumn("found", found).withColumn("found", place)
+    rows = rows.withColumn("found", place)
     for k in range(len(DOMAINS)):
         rows = rows.withColumn(f"s{k}", _total(F.col("found"), prior[k], [weight[w][k] for w in names]))
     top = F.greatest(*[F.col(f"s{k}") for k in range(len(DOMAINS))])
     up = [F.exp(F.col(f"s{k}") - top) for k in range(len(DOMAINS))]
     total = sum(up[1:], up[0])
-    return rows.withColumn("p", F.array(*[u / total for u in up])).drop("found", *[f"s{k}" for k in range(len(DOMAINS))])
+    return rows.withColumn("p", F.array(*[u / total for u in up])).drop("found", "symbols", "capitals", *[f"s{k}" for k in range(len(DOMAINS))])
 
 
 def _total(places: Column, start: float, values: list[float]) -> Column:
@@ -158,14 +155,14 @@ def _copies(r: Column, *key: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, p_clean, p_toxic, p_junk, rate, copies.
+    """One row per document: id, n_tokens (words between white space and punctuation), p_clean, p_toxic, p_junk, rate, copies.
 
     Targets are shares by domain (the first one's must be over 0). A null text counts as empty and has rate by its shape;
     null and repeated ids pass through, repeated labels count once; without labelled rows the memberships are the prior
     and every rate follows from them; an empty table gives no rows; other columns are ignored.
     """
     prior, weight = train(docs, labels, id, text)
-    src = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n", words_of(F.col("text")))
+    src = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     members = durable(_posteriors(src, prior, weight).select("id", "n", "p"), "members")
     pushes, looks = fit(members, targets)
     z = rate(F.col("p"), pushes, looks)
@@ -178,7 +175,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     prior, weight = train(docs, labels, id, text)
     src = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id).alias("id"))
     # Written once, so that the texts are read and judged once; the steps read two narrow columns of it.
-    members = durable(_posteriors(src.withColumn("n", words_of(F.col("text"))), prior, weight).drop("text"), "members")
+    members = durable(_posteriors(src, prior, weight).drop("text"), "members")
     pushes, looks = fit(members.select("n", "p"), targets)
     r = rate(F.col("p"), pushes, looks)["r"] if pushes else F.lit(1.0)
     drawn = members.select("row", _copies(r, F.col("id")).alias("copies")).where("copies > 0")
