@@ -22,7 +22,10 @@ from lectern.llm.quality import quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality(docs, table(spark, sf_dir, "labels"), whole=True)
+    # The verdict follows from language and text, so a digest of both brings it back, whatever the ids are.
+    rows = docs.withColumn("_key", F.sha2(F.concat(F.coalesce("lang", F.lit("\x01")), F.lit("\x00"), F.coalesce("text", F.lit(""))), 256))
+    kept = quality(rows, table(spark, sf_dir, "labels"), carry=("_key",)).where("kept").select("_key").distinct()
+    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,8 @@ def doubles(values: list[float]) -> Column:
 def strings(values: list[str]) -> Column:
     """A literal array of strings."""
     return F.split(F.lit("\x00".join(values)), "\x00", -1)
+
+
+def share(*cols: str | Column, seed: int) -> Column:
+    """A number from 0 to 1 by a hash of the columns: rows below a bound are a sample that doesn't depend on partitions."""
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))

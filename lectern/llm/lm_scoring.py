@@ -234,6 +234,24 @@ def _score(model):
     return run
 
 
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts from a least count on, most frequent first: so many words at most.
+
+    The least count comes from a histogram in eighths of an octave (some hundred rows), so no task sorts all words.
+    """
+    step = F.floor(F.log2("c") * 8)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= r.n
+        if left < 0:
+            break
+        least = r.b
+    top = counts.where(step >= F.lit(least)).toArrow()  # no row if least is null
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    order = np.lexsort((h.view(np.int64), -c))
+    return h[order], c[order]
+
+
 def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, table: int = TABLE) -> tuple[Model, DataFrame]:
     """The model of the rows (id, text, held_out) that aren't held out, and the counts (h, c) of all their words."""
     spark = rows.sparkSession
@@ -241,9 +259,7 @@ def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, table: int
     counts = durable(kept.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     ends = kept.count()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(table).toArrow()
-    words = top.column("h").to_numpy().view(np.uint64)
-    count = top.column("c").to_numpy()
+    words, count = _frequent(counts, max(table, head))
     chosen = np.sort(words[:head])
     sent = spark.sparkContext.broadcast(chosen)
     pairs = kept.mapInArrow(_count_pairs(sent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).toArrow()  # (head + 2) ** 2 rows at most

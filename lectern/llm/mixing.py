@@ -13,13 +13,13 @@ from math import exp, log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doubles, durable, strings
+from lectern.llm.common import doubles, durable, share, strings
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that each domain should have after mixing.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
-#: Labelled rows that the classifier is fitted on, and features that it uses, at most.
-SAMPLE_ROWS, FEATURES = 12_000, 100
+#: Labelled rows that the classifier is fitted on, and marks of each domain but the first, at most.
+SAMPLE_ROWS, FEATURES = 12_000, 60
 #: Documents of the sample that a feature needs.
 LEAST = 6
 #: Chi-squared that a feature needs.
@@ -48,7 +48,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[
     """Log scores of a text without any feature, and what a feature's presence adds, by domain; from a sample of labelled rows by a hash of the id."""
     domain = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 2)
     known = labels.select(F.col(id).alias("id"), domain.alias("domain")).where("id is not null and domain is not null").dropDuplicates(["id"])
-    known = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE_ROWS)
+    known = known.withColumn("u", share("id", seed=11)).where(F.col("u") <= F.lit(1.2 * SAMPLE_ROWS / max(1, labels.count()))).orderBy("u", "id").limit(SAMPLE_ROWS).drop("u")
     sample = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(known), "id")  # SAMPLE_ROWS ids at most
     sample = _measured(sample.select("domain", F.col("t").alias("text")))
     sample = durable(sample.select("domain", F.array_distinct(F.concat("words", _shape())).alias("tokens")), "mixing-sample")
@@ -65,10 +65,14 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[
         want = n * F.lit(x / total)
         chi = chi + F.when(want > 0, (F.col(f"n{k}") - want) * (F.col(f"n{k}") - want) / want).otherwise(0.0)
     # Marks of the other domains: a short text lacks the first domain's common words too, so these tell nothing.
-    marks = F.greatest(*[F.col(f"n{k}") / (x + 1.0) for k, x in enumerate(rows) if k]) > F.lit(2.0) * F.col("n0") / (rows[0] + 1.0)
-    best = seen.where((n >= LEAST) & marks).withColumn("chi", chi).where(F.col("chi") >= EVIDENCE).orderBy(F.desc("chi"), "w").limit(FEATURES).collect()  # FEATURES rows
+    by = [F.col(f"n{k}") / F.lit(x + 1.0) for k, x in enumerate(rows)]
+    seen = seen.where(n >= LEAST).withColumn("chi", chi).where(F.col("chi") >= EVIDENCE)
+    best = []
+    for k in range(1, len(DOMAINS)):
+        mine = (by[k] > 2 * by[0]) & (by[k] >= F.greatest(F.lit(0.0), *by[1:]))
+        best += seen.where(mine).orderBy(F.desc("chi"), "w").limit(FEATURES).collect()  # FEATURES rows
     weight = {}
-    for r in best:
+    for r in {r.w: r for r in best}.values():
         has = [(r[f"n{k}"] + 0.5) / (x + 1.0) for k, x in enumerate(rows)]
         prior = [a + log(1 - x) for a, x in zip(prior, has, strict=True)]
         weight[r.w] = [log(x / (1 - x)) for x in has]

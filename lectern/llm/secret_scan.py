@@ -11,12 +11,10 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doubles
-
+from lectern.llm.common import doubles, share
 
 # The base patterns. Groups: the whole match.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
-ASSIGN_VALUE = r"""[A-Za-z0-9+/_.=-]+$"""
 #: A match's value is its last run of value characters after the key, [:=] and an opening quote.
 ASSIGN_GROUP = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -73,8 +71,9 @@ def train(docs: DataFrame, id: str, text: str) -> list[float]:
     spark, n = docs.sparkSession, len(ALPHABET)
     seed = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     random = seed.select(F.explode(F.array("h", F.translate(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring(F.conv(F.substring("h", 1, 15), 16, 36), 1, 12)))).alias("word"))
-    plain = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(id).cast("string")).alias("k"), F.col(text).alias("t"))
-    plain = plain.where(~F.col("t").rlike(f"{ACCESS}|{HEX}")).orderBy("k").limit(SAMPLE_ROWS).select(F.explode(F.expr(r"regexp_extract_all(t, '[A-Za-z0-9+/_-]{4,}', 0)")).alias("word"))
+    plain = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string").alias("k"), F.col(text).alias("t")).withColumn("u", share("k", seed=29))
+    plain = plain.where(F.col("u") <= F.lit(1.2 * SAMPLE_ROWS / max(1, docs.count()))).where(~F.col("t").rlike(f"{ACCESS}|{HEX}"))
+    plain = plain.orderBy("u", "k").limit(SAMPLE_ROWS).select(F.explode(F.expr(r"regexp_extract_all(t, '[A-Za-z0-9+/_-]{4,}', 0)")).alias("word"))
     count = {kind: {(r.a, r.b): r["count"] for r in _pairs(w).collect()} for kind, w in (("random", random), ("plain", plain))}  # one row a pair of characters at most
     table = []
     for a in range(n):
