@@ -19,11 +19,11 @@ DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that each domain should have after mixing.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
 #: Labelled rows that the classifier is fitted on, and marks of each domain but the first, at most.
-SAMPLE_ROWS, FEATURES = 12_000, 60
+SAMPLE_ROWS, FEATURES = 12_000, 150
 #: Documents of the sample that a feature needs.
 LEAST = 6
 #: Chi-squared that a feature needs.
-EVIDENCE = 60.0
+EVIDENCE = 30.0
 #: Steps of the descent at most, and the relative distance from the targets at which it ends (or half of it from the step before).
 STEPS, CLOSE = 40, 0.002
 #: Rates as near to 1 as this count as 1 when rows are drawn.
