@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset (single-machine tests) a temporary folder is set once."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -34,6 +34,9 @@ _ROLES = set("navigation banner contentinfo complementary search form alert aler
 _BESIDE = set(
     "ad ads adslot advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion nav navbar navigation menu submenu header masthead topbar footer sidebar aside rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations breadcrumb breadcrumbs widget widgets toolbar pagination pager form search copyright".split()
 )
+#: Words that tell an article's heading from the page's, that negate or only mention, and that mark an article as another one's.
+_OWN, _ABOUT = set("article entry post story content".split()), set("has with without no".split())
+_OTHERS = set("comment comments reply advert advertisement sponsored related recommended promo".split())
 #: Elements that part a page; what else is left out, such as an advert between two paragraphs, is a gap of one line.
 _APART = set("article main nav header footer aside".split())
 _CLOSES_P = _BLOCK - {"br", "button", "select", "option", "optgroup", "body", "html", "head"}
@@ -61,7 +64,10 @@ def _beside(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             found = {w.lower() for w in _WORD.findall(value)}
-            if found & _BESIDE and not (tag == "article" and not found & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related"}):
+            beside = found & _BESIDE
+            if beside == {"header"} and found & _OWN or found & _ABOUT:
+                continue  # the article's own heading; a word about another part, as in has-sidebar
+            if beside and (tag != "article" or beside & _OTHERS):
                 return True
     return False
 

@@ -28,6 +28,12 @@ def test_page_without_marked_article():
     assert html_extract.main_text(PAGE) == "Head & more First paragraph, long enough to make the windows surge, as it goes on for a while — and on. Short. Second bold line after a break."
 
 
+def test_classes_that_only_mention_a_part():
+    page = '<div class="page has-sidebar"><div class="article-header"><h1>Own head</h1></div><article class="post no-ads"><p>Text one.</p><div class="comment-list"><p>Not this.</p></div></article><div class="site-header">Not this.</div></div>'
+    assert html_extract.main_text(page) == "Text one."
+    assert html_extract.main_text(page.replace("article", "div").replace("div-header", "article-header")) == "Own head Text one."
+
+
 def test_extraction_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>hi <b>there</b>.<br>x"), (3, "u", "plain < 3 &am"), (4, "u", "<article><p>a<article><p>b"), (5, "u", "<!-- never closed <p>x"), (6, "u", "<script>x"), (7, "u", "<p>" + "w " * 100_000), (8, "u", "<nav><p>only a menu</nav>"), (8, "u", "<div><div>" * 3000 + "deep")]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
