@@ -3,8 +3,8 @@
 Markup is stripped into lines: each block of running text is one line, and each element that holds no article text
 (menus, forms, scripts and the like) leaves a gap of empty lines. The text lengths over a sliding window of lines make a
 distribution; it surges where a window of enough text begins and dives where windows become empty. Text between the
-first surge and the last dive is kept. Where a page marks its article or main part itself, the edges of that part are
-the surge and the dive, so that its short lines are not lost.
+first surge and the last dive is kept. A part that the page marks as article or main is evidence: where it holds as much
+text as the largest surge outside, its edges are the surge and the dive, so that its short lines are not lost.
 """
 
 from __future__ import annotations
@@ -72,18 +72,18 @@ def _beside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page as (text, characters in links, inside an article or main part); a gap is an empty line."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """Lines of a page as (text, characters in links, number of the outermost article or main part or 0); a gap is an empty line."""
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it drops what it holds, whether it is a part's edge
     piece: list[str] = []
-    drop = part = link = linked = 0
+    drop = part = parts = link = linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(piece).split())
         if text:
-            out.append((text, min(linked, len(text)), part > 0))
+            out.append((text, min(linked, len(text)), parts if part else 0))
         piece.clear()
         linked = 0
 
@@ -103,7 +103,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 flush()
             drop -= dropped
             if dropped and not drop or edge:
-                out.extend([("", 0, part > 0)] * (WINDOW if tag in _APART else 1))
+                out.extend([("", 0, parts if part else 0)] * (WINDOW if tag in _APART else 1))
             part -= edge
             link -= tag == "a"
 
@@ -148,9 +148,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         edge = not dropped and tag in ("article", "main")
         if dropped and not drop or edge:
             flush()
-            out.extend([("", 0, part > 0)] * (WINDOW if tag in _APART else 1))
+            out.extend([("", 0, parts if part else 0)] * (WINDOW if tag in _APART else 1))
         stack.append((tag, dropped, edge))
         drop += dropped
+        parts += edge and not part
         part += edge
         link += tag == "a"
     pop(0)
@@ -163,9 +164,6 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    if any(inside and text for text, _, inside in found):
-        return " ".join(text for text, _, inside in found if inside and text)
-    # Without a marked part: the distribution over windows of lines.
     size = [len(text) for text, _, _ in found]
     total = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     hills: list[tuple[int, int]] = []
@@ -179,8 +177,16 @@ def main_text(page: str | None) -> str:
             i = j
         else:
             i += 1
+    # A part's edges are gaps as wide as a window, so each hill is inside one marked part or outside of all.
+    marked: dict[int, int] = {}
+    for text, _, number in found:
+        if number and text:
+            marked[number] = marked.get(number, 0) + len(text)
     prose = [(a, b) for a, b in hills if sum(x[1] for x in found[a:b]) <= LINKS * sum(size[a:b])]
-    high = [(a, b) for a, b in prose if max(total[a:b]) >= SURGE] or sorted(prose, key=lambda h: sum(size[h[0] : h[1]]))[-1:]
+    high = [(a, b) for a, b in prose if max(total[a:b]) >= SURGE]
+    if marked and max(marked.values()) >= max((sum(size[a:b]) for a, b in high if not found[a][2]), default=0):
+        return " ".join(text for text, _, number in found if number and text)
+    high = high or sorted(prose, key=lambda h: sum(size[h[0] : h[1]]))[-1:]
     if not high:
         return ""
     surge, dive = high[0][0], high[-1][1]

@@ -34,6 +34,15 @@ def test_classes_that_only_mention_a_part():
     assert html_extract.main_text(page.replace("article", "div").replace("div-header", "article-header")) == "Own head Text one."
 
 
+def test_marked_teasers_do_not_replace_the_article():
+    body = "<p>The real article stands in plain blocks, and goes on for longer than any of the cards beside it do.</p>" * 4
+    cards = "".join(f"<article><h3>Card {k}</h3><p>A few words.</p></article>" for k in range(6))
+    want = " ".join(["The real article stands in plain blocks, and goes on for longer than any of the cards beside it do."] * 4)
+    assert html_extract.main_text(f"<body><div>{body}</div><div>{cards}</div></body>") == want
+    assert html_extract.main_text(f"<body><div>{cards}</div><div>{body}</div></body>") == want
+    assert html_extract.main_text(f"<body><p>Short note outside.</p><article>{body}<p>End.</p></article></body>") == want + " End."
+
+
 def test_extraction_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>hi <b>there</b>.<br>x"), (3, "u", "plain < 3 &am"), (4, "u", "<article><p>a<article><p>b"), (5, "u", "<!-- never closed <p>x"), (6, "u", "<script>x"), (7, "u", "<p>" + "w " * 100_000), (8, "u", "<nav><p>only a menu</nav>"), (8, "u", "<div><div>" * 3000 + "deep")]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
