@@ -153,6 +153,18 @@ def test_lm_same_scores_whatever_is_broadcast(documents):
     assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+@pytest.mark.parametrize("table", [500_000, 4])
+def test_lm_tells_rare_words_apart(spark, table):
+    """Words outside the head have classes: the same words in the order of the training's kinds are likelier than swapped."""
+    kinds = lambda k: [f"the n{(k + 7 * j) % 60} of v{(k + 11 * j) % 60}" for j in range(12)]
+    rows = [(k, " ".join(["the n0 of v0", *kinds(k)])) for k in range(300)]  # one word of each kind is in the head
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "the n1 of v2 the n3 of v4 xx"), (held[1], "the v2 of n1 the v4 of n3 xx")]
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), head=4, classes=4, table=table).where("doc_id >= 1000").collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert math.isclose(a.base_score, b.base_score) and a.score > b.score + 1
+
+
 def test_lm_of_nothing(nothing):
     assert lm_scoring.lm_scores(nothing).count() == 0
 
