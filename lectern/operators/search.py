@@ -32,10 +32,23 @@ def matches(items: DataFrame, query: str, id: str = "id", content: str = "conten
 
 
 def ordinals(found: DataFrame, *order: str) -> DataFrame:
-    """Numbers all matches from 0 by order: offsets of items come from their totals, so only one row an item is sorted."""
+    """Numbers all matches from 0 by order: offsets of items come from their totals.
+
+    With several columns, totals are added up by the first one, so one row a value of it is sorted by one task.
+    """
     items = found.where("occurrence = 0")
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = items.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))).select(*order, "start")
+    first, *rest = order
+    total = "total"
+    if rest:
+        total = "all"
+        groups = items.groupBy(first).agg(F.sum("total").alias(total))
+    else:
+        groups = items
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    start = groups.select(first, F.coalesce(F.sum(total).over(before), F.lit(0)).alias("start"))
+    if rest:
+        inner = Window.partitionBy(first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+        start = items.select(*order, F.coalesce(F.sum("total").over(inner), F.lit(0)).alias("own")).join(start, first).select(*order, (F.col("start") + F.col("own")).alias("start"))
     return found.join(start, list(order)).withColumn("ordinal", F.col("start") + F.col("occurrence")).drop("start")
 
 

@@ -96,7 +96,17 @@ def links_by_type(spark, sf):
 @query("line_links", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM line n JOIN link l ON l.source_line_id = n.book_id WHERE n.line_index = 0 AND n.book_id < 50"))
 def line_links(spark, sf):
     """The dependent lookup (book, line) to its links, as one join."""
-    first = b.line(spark, sf).where("line_index = 0 and book_id < 50").select("book_id", "line_index")
+    return _line_links(spark, sf, "book_id < 50")
+
+
+@query("line_links_whole", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM line n JOIN link l ON l.source_line_id = n.book_id WHERE n.line_index = 0"))
+def line_links_whole(spark, sf):
+    """As line_links, of all books."""
+    return _line_links(spark, sf, "true")
+
+
+def _line_links(spark, sf, which):
+    first = b.line(spark, sf).where("line_index = 0").where(which).select("book_id", "line_index")
     return first.join(b.link(spark, sf), F.col("source_line_id") == F.col("book_id")).select("book_id", "line_index", "target_line_id", "connection_type_id")
 
 
@@ -183,7 +193,23 @@ def books_by_category(spark, sf):
 )
 def commentary_groups(spark, sf):
     """Groups of the links of the first sources; every fifth book counts as untitled."""
-    found = library.links(b.link(spark, sf).where("source_line_id < 500"), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
+    return _commentary_groups(spark, sf, "source_line_id < 500")
+
+
+@query(
+    "commentary_groups_whole",
+    oracle(
+        "SELECT coalesce(nullif(title, ''), 'אחר') AS \"group\", arg_min(target_book_id, o) AS target_book_id, arg_min(line_index, o) AS target_line_index, count(*) AS n_links FROM f GROUP BY 1",
+        "f AS (SELECT l.*, CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END AS title, t.line_index, (coalesce(CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END, ''), l.target_line_id, l.target_book_id, l.connection_type_id) AS o FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id)",
+    ),
+)
+def commentary_groups_whole(spark, sf):
+    """As commentary_groups, of all links."""
+    return _commentary_groups(spark, sf, "true")
+
+
+def _commentary_groups(spark, sf, which):
+    found = library.links(b.link(spark, sf).where(which), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
     found = found.withColumn("title", F.when(F.col("target_book_id") % 5 != 0, F.col("title")))
     return library.commentary_groups(found).drop("links")
 
@@ -191,7 +217,17 @@ def commentary_groups(spark, sf):
 @query("commentary_items", oracle("SELECT k.title AS \"group\", row_number() OVER (PARTITION BY k.title ORDER BY l.target_line_id, t.content) - 1 AS place, l.target_line_id, t.content FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id < 200"))
 def commentary_items(spark, sf):
     """Nested groups flattened again, keyed by group and place."""
-    found = library.links(b.link(spark, sf).where("source_line_id < 200"), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
+    return _commentary_items(spark, sf, "source_line_id < 200")
+
+
+@query("commentary_items_whole", oracle("SELECT k.title AS \"group\", row_number() OVER (PARTITION BY k.title ORDER BY l.target_line_id, t.content) - 1 AS place, l.target_line_id, t.content FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id"))
+def commentary_items_whole(spark, sf):
+    """As commentary_items, of all links."""
+    return _commentary_items(spark, sf, "true")
+
+
+def _commentary_items(spark, sf, which):
+    found = library.links(b.link(spark, sf).where(which), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
     return library.commentary_groups(found).select("group", F.posexplode("links").alias("place", "x")).select("group", F.col("place").cast("long").alias("place"), "x.target_line_id", "x.content")
 
 
@@ -204,7 +240,17 @@ def commentary_group_position(spark, sf):
 
 @query("group_target_books", oracle("SELECT DISTINCT l.target_book_id AS id, k.title, k.total_lines FROM link l JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id < 100"))
 def group_target_books(spark, sf):
-    targets = b.link(spark, sf).where("source_line_id < 100").select(F.col("target_book_id").alias("id")).distinct()
+    return _target_books(spark, sf, "source_line_id < 100")
+
+
+@query("group_target_books_whole", oracle("SELECT DISTINCT l.target_book_id AS id, k.title, k.total_lines FROM link l JOIN book k ON k.id = l.target_book_id"))
+def group_target_books_whole(spark, sf):
+    """As group_target_books, of all links."""
+    return _target_books(spark, sf, "true")
+
+
+def _target_books(spark, sf, which):
+    targets = b.link(spark, sf).where(which).select(F.col("target_book_id").alias("id")).distinct()
     return b.book(spark, sf).join(targets, "id", "left_semi").select("id", "title", "total_lines")
 
 

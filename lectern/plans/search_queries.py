@@ -39,7 +39,16 @@ def content_search_overlapping(spark, sf):
 @query("content_search_ordinals", oracle("SELECT book_id, line_index, o AS occurrence, sum(total) OVER (PARTITION BY 1 ORDER BY book_id, line_index RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total + o AS ordinal FROM (SELECT * FROM hits WHERE book_id < 40 AND total > 0) h, LATERAL (SELECT 0 AS o) z", _HITS))
 def content_search_ordinals(spark, sf):
     """The first match of each line with its place among all matches of the first books."""
-    lines = b.line(spark, sf).where("book_id < 40")
+    return _ordinals(b.line(spark, sf).where("book_id < 40"))
+
+
+@query("content_search_ordinals_whole", oracle("SELECT book_id, line_index, 0 AS occurrence, sum(total) OVER (ORDER BY book_id, line_index RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total AS ordinal FROM hits", _HITS))
+def content_search_ordinals_whole(spark, sf):
+    """As content_search_ordinals, of all books."""
+    return _ordinals(b.line(spark, sf))
+
+
+def _ordinals(lines):
     found = search.matches(lines, PART).join(lines.select("id", "book_id", "line_index"), "id")
     placed = search.ordinals(found, "book_id", "line_index").where("occurrence = 0")
     return placed.select("book_id", "line_index", F.col("occurrence").cast("int").alias("occurrence"), "ordinal")
@@ -120,9 +129,29 @@ def regex_count_by_line(spark, sf):
     return lines.select("id", F.regexp_count("content", F.lit(PATTERN)).cast("long").alias("n"))
 
 
+@query("regex_count_by_line_whole")
+def regex_count_by_line_whole(spark, sf):
+    """As regex_count_by_line, of all lines, with Unicode word rules, which the oracle's engine doesn't have."""
+    return count_by_line(b.line(spark, sf))
+
+
+def count_by_line(lines):
+    unicode = f"(?U){PATTERN}"
+    return lines.where(F.col("content").rlike(unicode)).select("id", F.regexp_count("content", F.lit(unicode)).cast("long").alias("n"))
+
+
 @query("regex_slop", oracle(r"""SELECT id FROM line WHERE NOT regexp_matches(content, '[^\x00-\x7f]') AND regexp_matches(content, 'the\b\W+(?:[\w"]+\W+){0,2}and')"""))
 def regex_slop(spark, sf):
-    lines = b.line(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7f]"))
+    return slop(b.line(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7f]")))
+
+
+@query("regex_slop_whole")
+def regex_slop_whole(spark, sf):
+    """As regex_slop, of all lines, with Unicode word rules."""
+    return slop(b.line(spark, sf))
+
+
+def slop(lines):
     return lines.where(F.col("content").rlike(regexfind.slop_pattern("the and", 2))).select("id")
 
 

@@ -120,3 +120,27 @@ def test_streamed_history_keeps_the_newest(spark, sf, tmp_path):
     got = {r.id: r.access_count for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()}
     want = {r.id: r.access_count for r in catalog.history_of(spark.read.parquet(str(src))).collect()}
     assert last == 2 and got == want
+
+
+def test_regex_over_lines_beyond_ascii(spark):
+    import re
+
+    from lectern.plans import search_queries as q
+
+    texts = ["the cat and thé théâtre", "Then thëse the été and them", "über the die and", "théand the x y z and", "the über x and", "plain then that", None, "", "éthen them"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    want = {i: n for i, t in enumerate(texts) if (n := len(re.findall(q.PATTERN, t or "")))}
+    assert {r.id: r.n for r in q.count_by_line(d).collect()} == want
+    assert {r.id for r in q.slop(d).collect()} == {i for i, t in enumerate(texts) if re.search(r'the\b\W+(?:[\w"]+\W+){0,2}and', t or "")}
+
+
+def test_whole_queries_go_beyond_the_first_keys(spark, sf):
+    from lectern.plans import registry
+    from lectern.sources import tables
+
+    at = sf.replace("sf0.001", "sf0.01")
+    assert registry.QUERIES["line_links_whole"](spark, at).where("book_id >= 50").count() > 0
+    for name in ("content_search_ordinals", "regex_count_by_line", "regex_slop", "commentary_items", "group_target_books"):
+        assert registry.QUERIES[f"{name}_whole"](spark, at).count() > registry.QUERIES[name](spark, at).count(), name
+    links = [registry.QUERIES[name](spark, at).agg({"n_links": "sum"}).first()[0] for name in ("commentary_groups", "commentary_groups_whole")]
+    assert links[1] == tables.link(spark, at).count() > links[0]
