@@ -219,6 +219,28 @@ def test_quality_without_labels_and_of_nothing(edges, nothing, labels):
     assert {(r.key, r.source) for r in carried} == {("k", "x")}
 
 
+def test_quality_of_rare_languages(spark):
+    """Clean texts of languages with few labelled rows, or none, aren't judged by the words of the others."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda lang: " ".join(f"{lang}{rng.randrange(40)}" for _ in range(80))
+    junk = lambda: " ".join(f"zq{rng.randrange(10**9)}" for _ in range(80))
+    rows = [(i, text("en"), "en") for i in range(600)] + [(i, junk(), "en") for i in range(600, 800)]
+    rows += [(i, text("yy"), "yy") for i in range(1000, 1030)] + [(i, text("xx"), "xx") for i in range(2000, 2030)]
+    known = [(i, int(i < 600), 0) for i in range(750)] + [(i, 1, 0) for i in range(1000, 1003)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] for i in got if i >= 1000)
+    assert not any(got[i] for i in range(600, 800)) and sum(got[i] for i in range(600)) > 590
+
+
+def test_bands_widen_where_few_rows_support_them():
+    few, many = [(2 + k / 10, 1) for k in range(6)], [(2 + k / 500, 1) for k in range(300)]
+    bad = [(9.0, 0)] * 4
+    assert quality.band([*few[:4], *bad]) == (-math.inf, math.inf)
+    assert quality.band([*few, *bad])[1] > quality.band([*many, *bad])[1]
+
+
 # 5 licences
 
 
