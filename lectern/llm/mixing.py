@@ -26,8 +26,6 @@ LEAST = 6
 EVIDENCE = 30.0
 #: Steps of the descent at most, and the relative distance from the targets at which it ends (or half of it from the step before).
 STEPS, CLOSE = 40, 0.002
-#: Rates as near to 1 as this count as 1 when rows are drawn.
-WHOLE = 0.15
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -121,7 +119,8 @@ def rate(p: Column, pushes: list[list[float]], looks: list[float]) -> Column:
 
 def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[list[list[float]], list[float]]:
     """The steps' pushes and looks, from members (n, p). The target total keeps as many tokens of the first
-    domain as there are; a domain that has fewer tokens than its target is left as it is rather than repeated.
+    domain as there are; a domain that has fewer tokens than its target is repeated by rates over 1, unless it has less
+    than one token, which no rate can raise.
 
     A domain's distance counts relative to the root w of its tokens, and steps are scaled by 1 / n of each document. The
     curvature is then that of sum n p p' / w w', near 1 for sharp memberships, and the step length is the inverse of a
@@ -132,7 +131,7 @@ def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tu
     first = members.agg(*[F.sum(F.col("n") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("n") * p[i] * p[j]).alias(f"q{i}{j}") for i in range(k) for j in range(k)]).first()
     if not first.s0:
         return [], []
-    goal = [min(targets[x] * first.s0 / targets[DOMAINS[0]], first[f"s{i}"]) for i, x in enumerate(DOMAINS)]
+    goal = [targets[x] * first.s0 / targets[DOMAINS[0]] if first[f"s{i}"] >= 1 else first[f"s{i}"] for i, x in enumerate(DOMAINS)]
     w = [max(first[f"s{i}"], 1e-9) ** 0.5 for i in range(k)]
     reach = max(sum(first[f"q{i}{j}"] / (w[i] * w[j]) for j in range(k)) for i in range(k))
     pushes: list[list[float]] = []
@@ -153,9 +152,9 @@ def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tu
 
 
 def _copies(r: Column, *key: Column) -> Column:
-    """Whole copies of a row whose expectation is its rate, by a hash of the key; a rate near 1 is one copy."""
+    """Whole copies of a row whose expectation is its rate, by a hash of the key."""
     u = F.pmod(F.xxhash64(*key, F.lit(23)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return F.when(F.abs(r - 1) <= WHOLE, 1).otherwise(F.floor(r) + (u < r - F.floor(r)).cast("long")).cast("int")
+    return (F.floor(r) + (u < r - F.floor(r)).cast("long")).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,6 +173,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return out.select(F.col("id").alias(id), F.col("n").alias("n_tokens"), *[F.get("p", F.lit(k)).alias(f"p_{x}") for k, x in enumerate(DOMAINS)], "rate", _copies(F.col("rate"), F.col("id")).alias("copies"))
 
 
+def shares(rows: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(domain, target, reached, drawn) of what mix() returns: shares of the tokens at the rates, and as the copies have them."""
+    at = lambda by, x: F.sum(F.col("n_tokens") * F.col(by) * F.col(f"p_{x}"))
+    sums = rows.agg(*[at(by, x).alias(f"{by}_{x}") for by in ("rate", "copies") for x in DOMAINS])
+    part = lambda by, x: F.try_divide(F.col(f"{by}_{x}"), sum((F.col(f"{by}_{y}") for y in DOMAINS), F.lit(0.0)))
+    whole = float(sum(targets[x] for x in DOMAINS))
+    each = [F.struct(F.lit(x).alias("domain"), F.lit(targets[x] / whole).alias("target"), part("rate", x).alias("reached"), part("copies", x).alias("drawn")) for x in DOMAINS]
+    return sums.select(F.inline(F.array(*each)))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents drawn at their rates, with all their columns: a row of c copies appears c times."""
     prior, weight = train(docs, labels, id, text)

@@ -311,6 +311,16 @@ def test_mixing_meets_targets(spark, sf):
     assert clean > 0.97
 
 
+def test_mixing_raises_scarce_domains(spark, sf):
+    at = sf.replace("sf0.001", "sf0.01")
+    d, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    targets = {"clean": 0.5, "toxic": 0.3, "junk": 0.2}
+    out = mixing.mix(d, lab, targets).persist()
+    for r in mixing.shares(out, targets).collect():
+        assert abs(r.reached - targets[r.domain]) < 0.02 and abs(r.drawn - targets[r.domain]) < 0.04, r
+    assert abs(out.agg(F.avg(F.col("copies") - F.col("rate"))).first()[0]) < 0.03
+
+
 def test_mixing_edges(edges, nothing, labels):
     assert same_rows(mixing.mix(edges, labels.limit(0))) == IDS
     assert mixing.mix(nothing, labels).count() == 0
