@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Loops, null ends and repeated edges are ignored. Each round is two aggregations and two joins over the edges, so a
     node with very many edges is pre-aggregated before the shuffle and split by the join; rounds grow with the
-    logarithm of the longest chain. A table of no edges gives no rows.
+    logarithm of the longest chain. A table of no edges gives no rows; it is an error if
+    most_rounds rounds don't suffice.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = durable(now.where("u > v").distinct(), "edges")
@@ -32,6 +33,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = _mark(now)
         if mark[:4] == before[:4]:
             break
+    else:
+        if mark[0] != mark[1] or mark[4]:
+            raise RuntimeError(f"components are not whole after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -123,6 +123,15 @@ def test_overlaps_of_dense_and_sparse_columns():
     assert (ngram_join.overlaps(sets) == np.array(want)).all()
 
 
+def test_components_are_whole_or_an_error(spark):
+    from lectern.llm.graph import connected_components
+
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert connected_components(chain).where("component <> 0").count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(chain, most_rounds=1)
+
+
 # 3 LM scoring
 
 
