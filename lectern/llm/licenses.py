@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lectern.llm import tokens
 from lectern.llm.license_templates import TEMPLATES
 
-#: Words of a run, runs of a window, and words by which an alignment may drift to either side.
+#: Words of a run, runs of a window, and words by which an alignment may drift to either side at least (more where a template's coverage leaves out more).
 GRAM, WINDOW, BAND = 3, 2, 12
 #: Share of a template's words that must match in order.
 COVERAGE = 0.8
@@ -126,13 +126,14 @@ def _matches(index: Index, text: str, h: np.ndarray, coverage: float) -> list[tu
     found = []
     for t, diagonals in begin.items():
         template, last = index.hashes[t].tolist(), None
+        band = max(BAND, int((1 - coverage) * len(template)) + 1)  # a gap of all words that the coverage leaves out
         for d in sorted(set(diagonals)):
-            if last is not None and d - last <= BAND:
+            if last is not None and d - last <= band:
                 continue  # within the band of the alignment before
             last = d
-            lo = max(0, d)
-            part = h[lo : max(lo, d + len(template) + BAND)].tolist()
-            pairs = align(template[max(0, -d) :], part, BAND)
+            lo, blank = max(0, d), [-1] * max(0, -d)  # before the text, so that the template stays whole
+            part = blank + h[lo : max(lo, d + len(template) + band)].tolist()
+            pairs = [(i, j - len(blank)) for i, j in align(template, part, band)]
             share = len(pairs) / max(1, len(template))
             if share >= coverage:
                 a, b = lo + pairs[0][1], lo + pairs[-1][1]

@@ -266,6 +266,15 @@ def test_license_scan(spark, edges, nothing):
     assert licenses.license_scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize("before", ["", "word " * 40])
+def test_license_with_a_gap_in_the_middle(before):
+    words_ = licenses.TEMPLATES["MIT"].split()
+    half, index = len(words_) // 2, licenses.Index(licenses.TEMPLATES)
+    for middle in (words_[half + 18 :], [f"extra{k}" for k in range(18)] + words_[half:]):
+        found = licenses.matches(index, before + " ".join(words_[:half] + middle), licenses.COVERAGE)
+        assert [x[0] for x in found] == ["MIT"] and found[0][1] == len(before)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     assert len(licenses.align([1, 2, 3, 4, 5], [1, 9, 2, 3, 5], 3)) == 4
     assert licenses.align([1, 2], [], 3) == []
