@@ -54,6 +54,17 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def one_of_each(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows (row, *key) with equal keys, nulls alike, the one of the least row; row is a struct.
+
+    Columns that have no order (maps) don't count in the comparison.
+    """
+    kind = rows.schema["row"].dataType
+    ordered = [f"row.`{f.name}`" for f in kind.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    least = F.min("row") if len(ordered) == len(kind.fields) else F.min_by("row", F.struct(*ordered) if ordered else F.lit(0))
+    return rows.groupBy(*key).agg(least.alias("row"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from lectern.llm.common import drop_durable, durable
 
 
+def apart(aggregated: DataFrame, *key: str) -> DataFrame:
+    """Deals an aggregated side of a join out once more by its key.
+
+    Without this the aggregation and the join are one stage, whose hot keys adaptive execution can't split. With it both
+    sides are shuffles of their own: it splits a skewed partition of the other side, or broadcasts this one if it is small.
+    """
+    return aggregated.repartition(*key)
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): for each node of an edge (a, b), the smallest node that it reaches.
 
-    Loops, null ends and repeated edges are ignored. Each round is two aggregations and two joins over the edges, so a
-    node with very many edges is pre-aggregated before the shuffle and split by the join; rounds grow with the
-    logarithm of the longest chain. A table of no edges gives no rows; it is an error if
-    most_rounds rounds don't suffice.
+    Loops, null ends and repeated edges are ignored. Each round is two aggregations and two joins over the edges; the
+    edges of a node with very many are pre-aggregated before the shuffle and split by the join (see apart). Rounds grow
+    with the logarithm of the longest chain. A table of no edges gives no rows; it is an error if most_rounds rounds
+    don't suffice.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = durable(now.where("u > v").distinct(), "edges")
@@ -24,9 +33,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(apart(low, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(apart(low, "u"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = durable(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
         drop_durable(now)
         now, before = after, mark

@@ -1,20 +1,24 @@
 """N-gram Jaccard join: a blocked sparse matrix product of the document by n-gram incidence.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes, sorted). Documents of equal sets collapse into
-   one class by the set's size and a 128-bit sum, so a group of copies costs one row from here on.
+   one class by the set's size and a 128-bit sum, so a group of copies costs one row from here on. A class is named by a
+   number of its own, never by a document's id, which may repeat or be null.
 2. A linked pair shares at least o = ceil(s * n) shingles of either side, so the first n - o + l hashes of two linked
    sets share at least the smaller l. Only these prefixes are exploded and matched. A class of whose prefix fewer than
-   l are met in another class's prefix has no link and leaves; what is left is matched once more.
-3. Classes that share a prefix shingle are gathered by connected components (stars around the least identifier of a
+   l are met in another class's prefix has no link and leaves; what is left is matched once more, and of a class's met
+   shingles only so many are kept, rare ones first, that a linked class must hold one of them.
+3. Classes that share a kept shingle are gathered by connected components (stars around the least number of a
    shingle, so a shingle of d classes makes d - 1 edges). Every link lies within one of these gatherings.
-4. A gathering is cut into blocks of bounded size, and each pair of blocks is one task: overlap counts are accumulated
+4. A gathering is cut into bands of size, as linked sets differ in size by 1 / s at most, and a band into blocks of
+   bounded size. Each pair of blocks of the same or neighbouring bands is one task: overlap counts are accumulated
    column by column (rare columns as index pairs, frequent ones as dense tiles of a matrix product), pairs outside the
    size-derived bounds are discarded, and the task emits each class's number of links and a spanning forest of the
    links, never the pairs.
 5. Connected components of the forests are the result.
 
-Nothing is capped or sampled; the cost of step 4 grows with the square of a gathering of different, similar texts,
-which counting their links needs.
+Nothing is capped or sampled; the cost of step 4 grows with the square of a band of a gathering of different, similar
+texts, which counting their links needs. A side that is aggregated by the key of a join is dealt out once more
+(`apart`), so that adaptive execution can split a hot key or broadcast a side that turns out small.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import drop_durable, durable, partitions
-from lectern.llm.graph import connected_components
+from lectern.llm.common import drop_durable, durable, one_of_each, partitions
+from lectern.llm.graph import apart, connected_components
 
 #: Classes, and shingles, of a block of the product.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
@@ -61,19 +65,24 @@ def _signatures(size: int, percent: int):
                 at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 pair = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=["id", "n", "s1", "s2", "prefix"]
+                    [batch.column("id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))],
+                    names=["id", "digest", "n", "s1", "s2", "prefix"],
                 )
 
     return run
 
 
 def _sets(size: int):
+    """Sets of the classes' texts; of a class whose row repeats, once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
-            for batch in tokens.slices(whole, "text"):
+            fresh = [k not in seen and not seen.add(k) for k in whole.column("cid").to_pylist()]
+            for batch in tokens.slices(whole.filter(pa.array(fresh, pa.bool_())), "text"):
                 words, first = tokens.words(batch.column("text"))
                 sets = [np.unique(tokens.shingles(words[first[i] : first[i + 1]], size)).tobytes() for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "n", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], names=["cid", "items"])
 
     return run
 
@@ -118,11 +127,11 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 
 def _product(percent: int):
-    """Rows come sorted by (gathering, left, right); each run of these is one task of the product."""
+    """Rows come sorted by (gathering, left, right, cid); each run of the first three is one task of the product."""
 
     def task(rows: dict, left: int, right: int) -> Iterator[tuple]:
         sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-        ids, copies, side = np.array(rows["id"], np.int64), np.array(rows["copies"], np.int64), np.array(rows["block"])
+        ids, copies, side = np.array(rows["cid"], np.int64), np.array(rows["copies"], np.int64), np.array(rows["block"])
         n = np.array([len(s) for s in sets], np.int64)
         shared = overlaps(sets)
         small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
@@ -148,76 +157,121 @@ def _product(percent: int):
             for i in range(batch.num_rows):
                 k = (got["gathering"][i], got["left"][i], got["right"][i])
                 if k != key:
-                    if held and len(held["id"]) > 1:
+                    if held and len(held["cid"]) > 1:
                         out.extend(task(held, key[1], key[2]))
-                    key, held = k, {c: [] for c in ("id", "items", "copies", "block")}
+                    key, held = k, {c: [] for c in ("cid", "items", "copies", "block")}
                     if len(out) > 50_000:
                         yield packed()
                         out = []
-                if held["id"] and held["id"][-1] == got["id"][i] and held["items"][-1] == got["items"][i]:
-                    continue  # a repeated row
+                if held["cid"] and held["cid"][-1] == got["cid"][i]:
+                    continue  # another task's copy of a repeated row
                 for c in held:
                     held[c].append(got[c][i])
-        if held and len(held["id"]) > 1:
+        if held and len(held["cid"]) > 1:
             out.extend(task(held, key[1], key[2]))
         yield packed()
 
     return run
 
 
+def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, text, digest): what tells a row's text from another one's of the same id is a digest of 64 bits."""
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(id).cast("long").alias("id"), text_.alias("text"), F.xxhash64(text_).alias("digest"))
+
+
+def _components(src: DataFrame, size: int, percent: int) -> DataFrame:
+    """(row, id, digest, n, component, least, links, same) of each row of src; component is a number, least its smallest id."""
+    signed = src.mapInArrow(_signatures(size, percent), "id long, digest long, n long, s1 long, s2 long, prefix array<long>")
+    # Numbers are written with the rows, so whatever reads them sees the same ones.
+    all_ = durable(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    some, key = all_.where("n > 0"), ["n", "s1", "s2"]
+    classes = durable(some.groupBy(*key).agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
+
+    first = some.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
+    posts = first.select(F.col("row").alias("cid"), F.expr(_slack_sql(f"ceil(n * {percent} / 100)")).cast("int").alias("slack"), F.explode("prefix").alias("h"))
+    by = Window.partitionBy("cid")
+    often = lambda: apart(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
+    met = posts.join(often().select("h"), "h", "left_semi").withColumn("of", F.count("*").over(by)).where("of >= slack")
+    posts = durable(met.select("cid", "slack", "h"), "met")
+    # Of a class's met shingles a linked one shares `slack`, so all but the last slack - 1 in any one order must hold one
+    # of these; the order is rare ones first, so lines that very many texts share gather nothing.
+    again = posts.join(often(), "h").withColumn("of", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("c", "h")))
+    before, posts = posts, durable(again.where("of >= slack and place <= of - slack + 1").select("cid", "h"), "rare")
+    drop_durable(before)
+
+    star = posts.join(apart(posts.groupBy("h").agg(F.min("cid").alias("b")), "h"), "h").select(F.col("cid").alias("a"), "b").where("a != b").distinct()
+    where = connected_components(star).withColumnRenamed("node", "cid").withColumnRenamed("component", "gathering")
+    where = where.join(classes.select("cid", "n", "copies"), "cid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(_ratio(percent)))).cast("int"))
+    sizes = where.groupBy("gathering", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    bands = sizes.groupBy("gathering").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # some tens of bands at most
+    where = where.join(apart(bands, "gathering"), "gathering").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("bands")[F.col("band")]).cast("int"))
+    where = durable(where.withColumn("block", _place(F.col("band"), F.col("block"))), "gatherings")
+
+    # The texts of the classes' own rows, by id and digest.
+    own = some.select(F.col("row").alias("cid"), "id", "digest").join(where.select("cid"), "cid", "left_semi")
+    texts = src.alias("t").join(own.alias("o"), F.col("t.id").eqNullSafe(F.col("o.id")) & (F.col("t.digest") == F.col("o.digest"))).select("cid", "text")
+    sets = texts.mapInArrow(_sets(size), "cid long, items binary")
+    partners = lambda d: F.when(F.coalesce(F.col("bands")[F.col("band") + d], F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("bands")[F.col("band") + d] - 1), lambda j: _place(F.col("band") + d, j))).otherwise(F.array().cast("array<long>"))
+    sides = F.transform(F.concat(partners(-1), partners(0), partners(1)), lambda p: F.struct(F.least("block", p).alias("left"), F.greatest("block", p).alias("right")))
+    tasks = where.select("gathering", "cid", "copies", "block", sides.alias("sides")).join(sets, "cid").withColumn("p", F.explode("sides"))
+    tasks = tasks.select("gathering", "p.left", "p.right", "cid", "copies", "block", "items")
+    dealt = tasks.repartition(partitions(src.sparkSession), "gathering", "left", "right").sortWithinPartitions("gathering", "left", "right", "cid")
+    found = durable(dealt.mapInArrow(_product(percent), "a long, b long, links long"), "links")
+
+    # Rows that repeat an id are one node.
+    repeated = apart(some.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"), "id")
+    shared = some.select("id", *key).join(repeated.select("id"), "id", "left_semi").join(classes.select(*key, "cid"), key).select("id", "cid").distinct()
+    alike = shared.join(apart(shared.groupBy("id").agg(F.min("cid").alias("b")), "id"), "id").select(F.col("cid").alias("a"), "b")
+    component = connected_components(found.select("a", "b").union(alike)).withColumnRenamed("node", "cid")
+    component = component.join(classes.select("cid", "least"), "cid")
+    component = component.drop("least").join(apart(component.groupBy("component").agg(F.min("least").alias("smallest")), "component"), "component")
+    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    of = classes.join(component, "cid", "left").join(links, "cid", "left")
+    of = of.select(*key, F.coalesce("component", "cid").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("least"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("copies") - 1).alias("same"))
+    linked = some.select("row", "id", "digest", *key).join(of, key).select("row", "id", "digest", "n", "component", "least", (F.col("links") + F.col("same")).alias("links"), "same")
+    none = F.lit(0).cast("long")
+    return linked.union(all_.where("n = 0").select("row", "id", "digest", "n", F.col("row").alias("component"), F.col("id").alias("least"), none.alias("links"), none.alias("same")))
+
+
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links, n_same.
 
     Two documents link when their sets of distinct size-word shingles have a Jaccard similarity of percent / 100 or
     more; component_id is the smallest id that links reach. n_links counts the other documents linked, of which n_same
     have an equal set. Null or blank texts have an empty set and no link; a text of fewer words than size is one shingle.
-    Rows of a null id are left out, rows that repeat an id are one node with the links of each of its texts, other columns are ignored, an empty table
-    gives no rows.
+    Every row is returned. Rows that repeat an id are one node, with the links of each of their texts; a blank one
+    keeps its own id. Rows of a null id are nodes of their own; a component without any id has a null component_id.
+    Other columns are ignored, an empty table gives no rows.
     """
-    src = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id is not null")
-    all_ = durable(src.mapInArrow(_signatures(size, percent), "id long, n long, s1 long, s2 long, prefix array<long>"), "signatures")
-    key = ["n", "s1", "s2"]
-    classes = durable(all_.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-
-    least = _slack_sql(f"ceil(n * {percent} / 100)")
-    first = all_.where("n > 0").join(classes.select(F.col("rep").alias("id"), *key), ["id", *key], "left_semi")
-    posts = first.select("id", F.expr(least).alias("least"), F.explode("prefix").alias("h"))
-    for what in ("met", "met-again"):
-        often = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        met = posts.join(often, "h", "left_semi")
-        enough = met.groupBy("id").agg(F.count("*").alias("c"), F.first("least").alias("least")).where("c >= least").select("id")
-        before, posts = posts, durable(met.join(enough, "id", "left_semi"), what)
-        drop_durable(before)
-
-    # Of a class's met shingles a linked one shares `least`, so all but the last least - 1 in any one order must hold one
-    # of these; the order is rare ones first, so lines that very many texts share gather nothing.
-    often = posts.groupBy("h").agg(F.count("*").alias("c"))
-    place = Window.partitionBy("id").orderBy("c", "h")
-    rare = posts.join(often, "h").withColumn("place", F.row_number().over(place)).withColumn("of", F.count("*").over(Window.partitionBy("id")))
-    before, posts = posts, durable(rare.where("place <= of - least + 1").select("id", "h"), "rare")
-    drop_durable(before)
+    out = _components(_rows(docs, id, text), size, percent)
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("links").alias("n_links"), F.col("same").alias("n_same"))
 
-    star = posts.join(posts.groupBy("h").agg(F.min("id").alias("b")), "h").select(F.col("id").alias("a"), "b").where("a != b").distinct()
-    where = connected_components(star).withColumnRenamed("node", "id").withColumnRenamed("component", "gathering")
-    where = where.join(classes.select(F.col("rep").alias("id"), "n", "copies"), "id")
-    blocks = where.groupBy("gathering").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    where = durable(where.join(blocks, "gathering").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "gatherings")
 
-    sets = src.join(where.select("id"), "id", "left_semi").mapInArrow(_sets(size), "id long, n long, items binary")
-    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right")))
-    tasks = where.join(sets, ["id", "n"]).select("gathering", "id", "copies", "block", "items", F.explode(sides).alias("p")).select("gathering", "p.left", "p.right", "id", "copies", "block", "items")
-    dealt = tasks.repartition(partitions(docs.sparkSession), "gathering", "left", "right").sortWithinPartitions("gathering", "left", "right", "id")
-    found = durable(dealt.mapInArrow(_product(percent), "a long, b long, links long"), "links")
+def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but of each component only one.
+
+    Of a component the row of the smallest id stays (one without an id only if all are), of several the one of the
+    smallest digest of its text, and of rows alike in id and text the least one by its other columns. Null and blank
+    texts link with nothing, so all of them stay. An empty table gives no rows.
+    """
+    found = _components(_rows(docs, id, text), size, percent).where("n > 0")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "digest")).alias("best")).select("best.id", "best.digest")
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).cast("long").alias("id"), F.xxhash64(text_).alias("digest"), text_.rlike(r"[^\x20\x09-\x0D]").alias("some"))
+    chosen = rows.alias("r").where("some").join(best.alias("b"), F.col("r.id").eqNullSafe(F.col("b.id")) & (F.col("r.digest") == F.col("b.digest")), "left_semi")
+    return one_of_each(chosen, "id", "digest").select("row.*").union(rows.where("not some").select("row.*"))
+
+
+def _ratio(percent: int) -> float:
+    """Of the sizes of neighbouring bands; a little over what linked sets may differ by, so that rounding loses no link."""
+    return 100 / percent * (1 + 1e-6)
 
-    component = connected_components(found.select("a", "b"))
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    of = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
-    of = of.select(*key, F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("copies") - 1).alias("n_same"))
-    some = all_.where("n > 0").select("id", *key).join(of, key).select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("n_same")).alias("n_links"), "n_same")
-    none = all_.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_same"))
-    return some.unionByName(none).withColumnRenamed("id", id)
+
+def _place(band, block):
+    """A block's number within its gathering."""
+    return band.cast("long") * (1 << 32) + block
 
 
 def _slack_sql(n: str) -> str:
     return f"1 + floor({n} / 12)"
-

@@ -108,12 +108,63 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
 
 def test_ngram_join_edges(edges, nothing):
     got = {r.doc_id: r for r in ngram_join.jaccard_components(edges).collect()}
-    assert set(got) == {i for i, _ in EDGES if i is not None}
+    assert same_rows(ngram_join.jaccard_components(edges)) == IDS
     assert [got[i].n_shingles for i in (1, 2, 3, 4, 5, 7)] == [0, 0, 0, 1, 1, 2]
     assert got[6].component_id == 5 and got[8].component_id == 7 and got[3].component_id == 3
     assert ngram_join.jaccard_components(nothing).count() == 0
 
 
+def brute_rows(rows, size=5, percent=80):
+    """(id, shingles, component, links) of rows whose ids may repeat or be null: rows of one id are one node."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    at, links = list(range(len(rows))), [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            linked = a and b and 100 * len(a & b) >= percent * len(a | b)
+            links[i], links[j] = links[i] + bool(linked), links[j] + bool(linked)
+            if linked or a and b and rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                x, y = at[i], at[j]
+                at = [min(x, y) if k in (x, y) else k for k in at]
+    least = lambda i: rows[i][0] if not sets[i] else min((rows[j][0] for j in range(len(rows)) if at[j] == at[i] and rows[j][0] is not None), default=None)
+    return collections.Counter((rows[i][0], len(sets[i]), least(i), links[i]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_ngram_join_of_repeated_and_null_ids(spark, turned, parts):
+    """An id with several texts has the links of each of them, in any order of the rows; rows without an id are returned."""
+    one, other = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(6000)]
+    rows = [(1, one), (1, other), (2, [*one, "more"]), (3, other[:300] + [f"c{k}" for k in range(5700)]), (9, other[:-20]), (None, one[1:]), (None, one[1:]), (None, ["lone", "one"]), (7, ["lone", "one"]), (None, ["apart"]), (None, []), (5, []), (5, other[:50]), (4, other[:48])]
+    rows = [(i, " ".join(w)) for i, w in (rows[::-1] if turned else rows)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_rows(rows)
+
+
+def test_near_unique_keeps_one_row_of_each_group(spark, edges, nothing):
+    full = lambda rows: spark.createDataFrame([(i, t, n, {"k": n}) for i, t, n in rows], "doc_id long, text string, row int, digest map<string,int>")
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, base, 1), (4, base, 0), (6, base + " x", 2), (None, base + " y", 3), (None, "only here", 4), (None, "only here", 5), (8, None, 6), (None, " ", 7), (None, " ", 7), (2, "another text", 8)]
+    got = ngram_join.near_unique(full(rows))
+    assert got.columns == ["doc_id", "text", "row", "digest"]
+    kept = sorted((str(r.doc_id), r.row) for r in got.collect())
+    assert [k for k in kept if k[1] not in (0, 1, 4, 5)] == [("2", 8), ("8", 6), ("None", 7), ("None", 7)]
+    assert len(kept) == 6 and sum(k[1] in (0, 1) for k in kept) == 1 and sum(k[1] in (4, 5) for k in kept) == 1
+    assert ngram_join.near_unique(nothing).count() == 0 and ngram_join.near_unique(edges).columns == edges.columns
+
+
+def test_ngram_join_in_bands_of_size(spark, monkeypatch):
+    """Sizes that differ by just the share that links allow, around the bounds of the bands."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
+    all_words = [f"w{k}" for k in range(700)]
+    rows = [(n, " ".join(all_words[:n])) for n in range(5, 700, 3)] + [(1000 + n, " ".join(all_words[: n * 5 // 4])) for n in range(4, 400, 40)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute_links(rows)
+
+
 def test_overlaps_of_dense_and_sparse_columns():
     import numpy as np
 
