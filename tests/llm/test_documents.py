@@ -263,6 +263,76 @@ def test_quality_statistics(spark, documents, edges, labels):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def brute_kneser_ney(train, open_types=quality.OPEN_TYPES):
+    """log10 probability of a word list under an interpolated modified Kneser-Ney trigram model of lists of words."""
+    three = collections.Counter(g for w in train for g in zip(["", "", *w], ["", *w], w, strict=False))
+    two = collections.Counter(g[1:] for g in three)
+    one = collections.Counter(g[1:] for g in two)
+
+    def level(counts):
+        n = collections.Counter(counts.values())
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0.0] + [min(max(k - (k + 1) * y * n[k + 1] / max(n[k], 1), 0.1), k - 0.05) for k in (1, 2, 3)]
+        total, cut = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            cut[g[:-1]] += d[min(c, 3)]
+        return lambda g: ((counts[g] - d[min(counts[g], 3)]) / total[g[:-1]] if g in counts else 0.0, cut[g[:-1]] / total[g[:-1]] if g[:-1] in total else 1.0)
+
+    levels = [level(x) for x in (one, two, three)]
+
+    def score(w):
+        out = 0.0
+        for g in zip(["", "", *w], ["", *w], w, strict=False):
+            p = 1 / open_types
+            for k, of in enumerate(levels):
+                own, left = of(g[2 - k :])
+                p = own + left * p
+            out += math.log10(p)
+        return out
+
+    return score
+
+
+def test_quality_perplexity_is_of_a_kneser_ney_model(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    text = lambda k: " ".join(rng.choice(["de", "en", "a", "b", "c"]) + (str(rng.randrange(k)) if rng.random() < 0.6 else "") for _ in range(rng.randrange(1, 90)))
+    rows = [(x, text(4)) for x in ("en", "de") for _ in range(30)]
+    model = quality.Model(spark.createDataFrame(rows, "model string, text string").repartition(5))
+    asked = [(x, text(6)) for x in ("en", "de") for _ in range(20)] + [("en", ""), ("en", "unseen"), ("de", rows[0][1])]
+    import pyarrow as pa
+
+    h, first = tokens.words(pa.array([t for _, t in asked]), lower=False)
+    got = model(h, first, [x for x, _ in asked])
+    brute = {x: brute_kneser_ney([t.split() for y, t in rows if y == x]) for x in ("en", "de")}
+    # A model without rows of a language and of all together doesn't judge.
+    assert np.allclose(got, [brute[x](t.split()) for x, t in asked], rtol=1e-5)
+    assert model(h[:3], np.array([0, 3]), ["xx"])[0] == 0
+
+
+def test_quality_same_to_the_last_bit_however_rows_are_dealt(spark, documents, labels):
+    rows = documents.select("doc_id", "text", "lang")
+    want = None
+    for n in (1, 3, 7):
+        got = {r.doc_id: (r.kept, r.log10_perplexity) for r in quality.quality(rows.repartition(n), labels.repartition(n)).collect()}
+        want = want or got
+        assert got == want
+
+
+def test_equal_hashes_are_an_error():
+    import numpy as np
+
+    with pytest.raises(RuntimeError):
+        quality.Arrays(np.array([5, 9, 5], np.uint64), np.array([0.1, 0.2, 0.3]))
+    one = quality.Arrays(np.array([5, 2**63, 2**64 - 2], np.uint64), np.array([0.1, 0.2, 0.3]))
+    assert one(np.array([5, 6, 2**63, 2**64 - 2, 2**64 - 1, 0], np.uint64), -1.0).tolist() == np.array([0.1, -1, 0.2, 0.3, -1, -1], np.float32).tolist()
+    assert quality.Arrays(np.array([], np.uint64), np.array([]))(np.array([5], np.uint64), 0.5)[0] == 0.5
+
+
 def test_quality_keeps_good_rows_and_rejects_bad_ones(spark, sf):
     at = sf.replace("sf0.001", "sf0.01")
     d, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
