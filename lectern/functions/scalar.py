@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Letters and their numbers.
 LETTERS = {"ת": 400, "ש": 300, "ר": 200, "ק": 100, "צ": 90, "פ": 80, "ע": 70, "ס": 60, "נ": 50, "מ": 40, "ל": 30, "כ": 20, "יט": 19, "יח": 18, "יז": 17, "טז": 16, "טו": 15, "י": 10, "ט": 9, "ח": 8, "ז": 7, "ו": 6, "ה": 5, "ד": 4, "ג": 3, "ב": 2, "א": 1}
-#: Spellings that are put in another order, one after the other.
+# Spellings that are put in another order, one after the other.
 SWAPS = [("יה", "טו"), ("יו", "טז"), ("רעב", "ערב"), ("רעד", "עדר"), ("רע", "ער"), ("רצח", "רחצ"), ("תשמד", "תדשם"), ("שמד", "שדמ"), ("שד", "דש")]
 
 
@@ -108,19 +108,22 @@ def hebrew_date_text(c: Column, weekday: bool = False) -> Column:
     """Day, month and year of a timestamp in the Hebrew calendar, after the day of the week on request."""
 
     def spelled(s: pd.Series) -> pd.Series:
-        return s.map(lambda d: _spelled(d, weekday))
+        # Each day once, however often it occurs.
+        place, days = pd.factorize(s.dt.normalize())
+        text = pd.Series([_spelled(d, weekday) for d in days] + [None], dtype=object)
+        return text.take(place).reset_index(drop=True)
 
     return F.pandas_udf(spelled, "string")(c)
 
 
 def compare_versions(a: Column, b: Column) -> Column:
-    """-1, 0 or 1: by numbers where both are dotted numbers (a leading v aside), else by the lower-case text."""
+    """-1, 0 or 1: by numbers where both are dotted numbers below 2^31 (a leading v aside), else by the lower-case text."""
     clean = lambda c: F.regexp_replace(c, "^[vV]+", "")
     a, b = clean(a), clean(b)
-    dotted = r"^\d+(\.\d+){1,3}$"
-    parts = lambda c: F.transform(F.split(c, r"\."), lambda x: x.cast("int"))
+    parts = lambda c: F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
+    dotted = lambda c: c.rlike(r"^\d+(\.\d+){1,3}$") & F.forall(parts(c), lambda x: x.isNotNull())
     sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
-    return F.when(a.rlike(dotted) & b.rlike(dotted), sign(parts(F.when(a.rlike(dotted), a)), parts(F.when(b.rlike(dotted), b)))).otherwise(sign(F.lower(a), F.lower(b)))
+    return F.when(dotted(a) & dotted(b), sign(parts(a), parts(b))).otherwise(sign(F.lower(a), F.lower(b)))
 
 
 def _byte(hex6: Column, at: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def searchable(c: Column) -> Column:
     return remove_marks(F.lower(strip_tags(c)))
 
 
+def plain_term(query: str) -> str:
+    """A query in the same form."""
+    return re.sub(MARKS, "", re.sub("<[^>]*>", "", query).lower())
+
+
 def display_filter(c: Column, state: int) -> Column:
     """0 as it is; 1 without cantillation; 2 without vowels too, `?` and `!` become `.`, the em dash goes. Text between tags only."""
     if state <= 0:
@@ -52,7 +59,7 @@ def display_filter(c: Column, state: int) -> Column:
 
 
 def censor(c: Column, strict_exempt: bool = False) -> Column:
-    """Rewrites divine names letter by letter, marks kept. strict_exempt leaves the plural before `others` alone in the shorter form too."""
+    """Rewrites divine names letter by letter, marks kept; the patterns and their order are fixed values. strict_exempt leaves the plural before `others` alone in the shorter form too."""
     d = f"({MARKS}*)"
     others = r"(?!\s*א" + f"{MARKS}*ח{MARKS}*ר{MARKS}*י{MARKS}*ם)"
     out = F.regexp_replace(c, f"י{d}ה{d}ו{d}ה{d}", "י$1ק$2ו$3ק$4")

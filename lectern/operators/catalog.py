@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from lectern.functions.scalar import popularity
 
 #: Rows of the default view and entries of the history: the features' limits.
-VIEW, HISTORY, RECENT = 50, 100, 10
+VIEW, HISTORY, RECENT, FILES = 50, 100, 10, 10
+
+
+def by_locale(title: str) -> Column:
+    """What titles are sorted by: small letters before capital ones, accented ones beside the plain."""
+    return F.collate(title, "UNICODE")
 
 
 def ranked(catalog: DataFrame, history: DataFrame, now: Column, most: int = VIEW) -> DataFrame:
-    """The most popular catalog rows that have a history: by score, then by title and id."""
+    """The most popular catalog rows that have a history: by score, then by title in the order of a locale, and id."""
     used = catalog.join(history, "id").withColumn("score", popularity(F.col("access_count"), F.col("last_accessed"), F.col("first_accessed"), now))
-    return used.select("id", "title", "author", "access_count", "score").orderBy(F.desc("score"), "title", "id").limit(most)
+    return used.select("id", "title", "author", "access_count", "score").orderBy(F.desc("score"), by_locale("title"), "id").limit(most)
 
 
 def with_usage(catalog: DataFrame, history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import censor
+from lectern.functions.text import censor, plain_term, searchable
 
 
 def all_categories(category: DataFrame) -> DataFrame:
@@ -52,6 +52,28 @@ def total_lines(book: DataFrame, book_id: int) -> DataFrame:
     return book.where(F.col("id") == book_id).agg(F.coalesce(F.max("total_lines"), F.lit(0)).alias("total_lines"))
 
 
+def line_ranges(line: DataFrame, ranges: list[tuple[int, int]], book_id: int | None = None) -> DataFrame:
+    """Lines in any of several ranges of indices, each once: the ranges are one filter of one scan."""
+    inside = F.lit(False)
+    for start, end in ranges:
+        inside = inside | F.col("line_index").between(start, end)
+    return line.where(inside if book_id is None else (F.col("book_id") == book_id) & inside)
+
+
+def links_of_lines(line: DataFrame, link: DataFrame, book_id: int | None = None, index: int | None = None, kind: int | None = None) -> DataFrame:
+    """(book_id, line_index, target_line_id, connection_type_id): a line's id is looked up by book and index, its links by the id; what is None isn't asked for."""
+    for name, value in (("book_id", book_id), ("line_index", index)):
+        line = line if value is None else line.where(F.col(name) == value)
+    link = link if kind is None else link.where(F.col("connection_type_id") == kind)
+    ids = line.select(F.col("id").alias("source_line_id"), "book_id", "line_index")
+    return ids.join(link, "source_line_id").select("book_id", "line_index", "target_line_id", "connection_type_id")
+
+
+def search_literal(line: DataFrame, term: str) -> DataFrame:
+    """Lines that hold the term itself, % and _ included, in the form that in-book search compares; letters of either case."""
+    return line.where(F.contains(searchable(F.col("content")), F.lit(plain_term(term))))
+
+
 def search_like(line: DataFrame, book_id: int, term: str) -> DataFrame:
     """Lines of a book whose raw content holds the term, letters of either case; % and _ stay wildcards."""
     return line.where((F.col("book_id") == book_id) & F.col("content").ilike(f"%{term}%")).select("line_index", "content")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import running
+
 #: Characters of context on either side of a match.
 CONTEXT = 75
 
@@ -31,13 +33,22 @@ def find_all(texts: DataFrame, pattern: str, id: str = "id", text: str = "text",
     p = f"(?m){pattern}"
     t = F.col("t")
     rows = texts.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(t.rlike(p))
-    rows = rows.withColumn("m", F.regexp_extract_all(t, F.lit(p), F.lit(0))).withColumn("gap", F.split(t, p, -1))
-    rows = rows.withColumn("size", F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.length(F.get("gap", i)) + F.length(F.get("m", i))))
-    each = rows.select("id", "t", "size", "gap", F.posexplode("m").alias("i", "match")).where("match <> ''")
-    before = F.aggregate(F.slice("size", F.lit(1), F.col("i")), F.lit(0), lambda a, b: a + b)
-    each = each.withColumn("start", before + F.length(F.get("gap", F.col("i")))).withColumn("length", F.length("match"))
-    snippet = F.concat(F.substring("t", F.greatest(F.lit(1), F.col("start") + 1 - context), F.least(F.col("start"), F.lit(context))), F.lit("<b>"), "match", F.lit("</b>"), F.substring("t", F.col("start") + F.col("length") + 1, F.lit(context)))
-    return each.select(F.col("id").alias(id), "start", "length", "match", snippet.alias("snippet"))
+    # A row's matches are placed and cut while they are an array, so the text isn't copied to each of them.
+    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("m"), F.split(t, p, -1).alias("gap"))
+
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct((start + F.length(x["m"])).alias("state"), F.struct(start.alias("start"), F.length(x["m"]).alias("length"), x["m"].alias("match")).alias("out"))
+
+    placed = running(F.filter(pairs, lambda x: x["m"].isNotNull()), 0, step, "struct<start:int,length:int,match:string>")
+    rows = rows.select("id", "t", F.filter(placed, lambda x: x["length"] > 0).alias("found"))
+
+    def cut(x: Column) -> Column:
+        before = F.substring(t, F.greatest(F.lit(1), x["start"] + 1 - context), F.least(x["start"], F.lit(context)))
+        snippet = F.concat(before, F.lit("<b>"), x["match"], F.lit("</b>"), F.substring(t, x["start"] + x["length"] + 1, F.lit(context)))
+        return F.struct(x["start"].alias("start"), x["length"].alias("length"), x["match"].alias("match"), snippet.alias("snippet"))
+
+    return rows.select(F.col("id").alias(id), F.inline(F.transform("found", cut)))
 
 
 def find_offsets(texts: DataFrame, pattern: str, id: str = "id", text: str = "text") -> DataFrame:
@@ -74,11 +85,19 @@ def replace_all(c: Column, pattern: str, replacement: str) -> Column:
 
 
 def replace_first(c: Column, pattern: str, replacement: str) -> Column:
-    """Only the first match; $1 to $9 refer to its groups."""
-    shifted = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}" if m[1] != "0" else "", replacement)
-    groups = re.compile(re.sub(r"\(\?U\)", "", pattern)).groups
-    whole = re.sub(r"\$0", "", shifted)
-    return F.regexp_replace(c, f"(?s)\\A(.*?)(?m:{pattern})(.*)\\z", f"$1{whole}${groups + 2}")
+    """Only the first match; in the replacement $0 is the match, $1 to $9 are its groups, and a backslash takes the next character as it is.
+
+    The text before the match is what is left once the match and all after it go, the groups come from the pattern as it
+    is, so its own numbers, back-references and looks around hold. An unknown group is an error, as in replace_all.
+    """
+    p = f"(?m){pattern}"
+    before = F.regexp_replace(c, f"(?m)(?:{pattern})(?s:.*)", "")
+    match = F.regexp_extract(c, p, 0)
+    parts: list[Column] = []
+    for escaped, group, plain in re.findall(r"\\(.)|\$(\d)|([^\\$]+)", replacement, re.S):
+        parts.append(F.regexp_extract(c, p, int(group)) if group else F.lit(escaped or plain))
+    after = F.substring(c, F.length(before) + F.length(match) + 1, F.length(c))
+    return F.when(c.rlike(p), F.concat(before, *parts, after)).otherwise(c)
 
 
 def format_matches(**wanted: object) -> Column:

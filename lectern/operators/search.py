@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import searchable
+from lectern.functions.text import plain_term, searchable
+from lectern.operators.ordering import running_total
 
 #: Rows that list searches return at most: the feature itself.
 MOST = 100
@@ -18,13 +17,9 @@ def occurrences(c: Column, term: str) -> Column:
     return F.regexp_count(c, F.lit(f"(?=\\Q{term}\\E)")) if term else F.lit(0)
 
 
-def _term(query: str) -> str:
-    return re.sub("[֑-ׇ]", "", re.sub("<[^>]*>", "", query).lower())
-
-
 def matches(items: DataFrame, query: str, id: str = "id", content: str = "content") -> DataFrame:
     """(id, occurrence, total): a row for each match, counted from 0 within its item. A blank query matches nothing."""
-    term = _term(query)
+    term = plain_term(query)
     if not term.strip():
         return items.select(id, F.lit(0).alias("occurrence"), F.lit(0).alias("total")).limit(0)
     counted = items.select(id, occurrences(searchable(F.col(content)), term).alias("total")).where("total > 0")
@@ -32,23 +27,9 @@ def matches(items: DataFrame, query: str, id: str = "id", content: str = "conten
 
 
 def ordinals(found: DataFrame, *order: str) -> DataFrame:
-    """Numbers all matches from 0 by order: offsets of items come from their totals.
-
-    With several columns, totals are added up by the first one, so one row a value of it is sorted by one task.
-    """
-    items = found.where("occurrence = 0")
-    first, *rest = order
-    total = "total"
-    if rest:
-        total = "all"
-        groups = items.groupBy(first).agg(F.sum("total").alias(total))
-    else:
-        groups = items
-    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    start = groups.select(first, F.coalesce(F.sum(total).over(before), F.lit(0)).alias("start"))
-    if rest:
-        inner = Window.partitionBy(first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
-        start = items.select(*order, F.coalesce(F.sum("total").over(inner), F.lit(0)).alias("own")).join(start, first).select(*order, (F.col("start") + F.col("own")).alias("start"))
+    """Numbers all matches from 0 by order, which tells the items apart: offsets of items come from their totals."""
+    items = found.where("occurrence = 0").select(*order, "total")
+    start = running_total(items, F.col("total").cast("long"), *order, name="start").drop("total")
     return found.join(start, list(order)).withColumn("ordinal", F.col("start") + F.col("occurrence")).drop("start")
 
 

@@ -7,17 +7,21 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 
 def paths(nodes: DataFrame, label: str = "title", include_self: bool = True, order: str = "order_index", only_parents: str | None = None) -> DataFrame:
     """(id, depth, path, sort_path): labels from the root joined by ` > `, and a key that sorts depth first.
 
     A root has parent null or 0. Nodes whose parent is missing don't appear (see orphans). With only_parents, the
-    recursion goes below a node only where that flag is true. A cycle has no root, so it doesn't appear either.
+    recursion goes below a node only where that flag is true. A cycle has no root, so it doesn't appear either. The
+    nodes are written once, as each level joins them again.
     """
     spark, name = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
     flag = only_parents or "true"
     rank = F.lpad((F.coalesce(F.col(order), F.lit(0)) if order else F.lit(0)).cast("string"), 10, "0")
-    nodes.select("id", "parent_id", F.coalesce(label, F.lit("")).alias("label"), F.concat(rank, F.lit(":"), F.lpad(F.col("id").cast("string"), 19, "0")).alias("key"), F.expr(flag).alias("open")).createOrReplaceTempView(name)
+    kept = nodes.select("id", "parent_id", F.coalesce(label, F.lit("")).alias("label"), F.concat(rank, F.lit(":"), F.lpad(F.col("id").cast("string"), 19, "0")).alias("key"), F.expr(flag).alias("open"))
+    written(kept, "nodes").createOrReplaceTempView(name)
     own = "label" if include_self else "''"
     grown = "concat(t.path, ' > ', n.label)" if include_self else "CASE WHEN t.path = '' THEN t.label ELSE concat(t.path, ' > ', t.label) END"
     out = spark.sql(
@@ -27,6 +31,7 @@ def paths(nodes: DataFrame, label: str = "title", include_self: bool = True, ord
               SELECT n.id, t.depth + 1, {grown}, n.label, concat(t.sort_path, '/', n.key), n.open FROM t JOIN {name} n ON n.parent_id = t.id WHERE t.open)
             SELECT id, depth, path, sort_path FROM t"""
     )
+    spark.catalog.dropTempView(name)
     return out
 
 

@@ -8,6 +8,8 @@ from lectern.functions.scalar import popularity
 from lectern.operators import catalog as ops
 from lectern.operators import search
 from lectern.plans.registry import query
+from lectern.session import new_folder
+from lectern.sources import files
 from lectern.sources import tables as b
 from lectern.sources.tables import oracle
 from lectern.streaming import history as stream
@@ -126,7 +128,7 @@ def catalog_search_long(spark, sf):
 @query("catalog_by_locale", oracle("SELECT id, title FROM catalog ORDER BY title, id LIMIT 50"))
 def catalog_by_locale(spark, sf):
     """Titles in the order of a locale; ids break ties."""
-    return b.catalog(spark, sf).select("id", "title").orderBy(F.collate("title", "UNICODE"), "id").limit(50)
+    return b.catalog(spark, sf).select("id", "title").orderBy(ops.by_locale("title"), "id").limit(50)
 
 
 @query("catalog_tags", oracle("SELECT id, tag FROM catalog, unnest(list_filter(list_transform(string_split(tags, ' '), lambda x: trim(x)), lambda x: x <> '')) u(tag)"))
@@ -169,19 +171,88 @@ def persisted_kinds(spark, sf):
     return b.read(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "event_type")
 
 
+def _stream(spark, sf, name, **options):
+    return spark.readStream.schema(b.read(spark, sf, name).schema).options(**options).parquet(f"{sf}/{name}.parquet*")
+
+
+def _plain(df):
+    """Timestamps without a zone, as the tables have them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 @query("stream_history", oracle("SELECT * FROM history"))
 def stream_history(spark, sf):
     """The streamed counters over all events: complete mode, so they equal the batch result."""
-    import uuid
+    return _plain(stream.collected(stream.counters(_stream(spark, sf, "events")), new_folder(spark, "history"), "complete"))
+
+
+@query("stream_newest", oracle("SELECT * FROM history ORDER BY last_accessed DESC, id LIMIT 100"))
+def stream_newest(spark, sf):
+    """The streamed history after eviction: the newest keys."""
+    path = new_folder(spark, "newest")
+    stream.keep_history(_stream(spark, sf, "events"), f"{path}/rows", f"{path}/state").awaitTermination()
+    return _plain(ops.newest(spark.read.parquet(f"{path}/rows/*")))
+
+
+@query("stream_sessions", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def stream_sessions(spark, sf):
+    """Bursts of events with gaps of under six hours, of the whole stream."""
+    return _plain(stream.collected(stream.sessions(_stream(spark, sf, "events"), gap="6 hours"), new_folder(spark, "sessions"), "complete"))
+
+
+@query("stream_first_events", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_first_events(spark, sf):
+    """A stream that brings each event twice, without the second ones."""
+    events = _stream(spark, sf, "events").select("event_id", "event_type", "ts")
+    first = stream.collected(stream.first_lines(events.union(events), "ts", "event_id").drop("ts"), new_folder(spark, "first"))
+    return first.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_search", oracle("SELECT id, total FROM (SELECT id, (length(s) - length(replace(s, 'th', ''))) // 2 AS total FROM (SELECT id, lower(regexp_replace(content, '<[^>]*>', '', 'g')) AS s FROM line)) WHERE total > 0"))
+def stream_search(spark, sf):
+    """Lines that load in batches, each searched as it comes in: the lines with matches, and how many each has."""
+    lines = _stream(spark, sf, "documents", maxFilesPerTrigger=1).select(F.col("doc_id").alias("book_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_index", "content"))
+    lines = lines.select((F.col("book_id") * b.LINES + F.col("line_index")).alias("id"), "content")
+    found = stream.searched(lines, "TH").where("occurrence = 0").select("id", F.col("total").cast("long").alias("total"))
+    return stream.collected(found, new_folder(spark, "search"))
+
+
+@query("file_cache_kept", oracle("SELECT id, last_accessed FROM history ORDER BY last_accessed DESC, id LIMIT 10"))
+def file_cache_kept(spark, sf):
+    """The files that a cache of ten keeps."""
+    return ops.newest(b.history(spark, sf), ops.FILES).select("id", "last_accessed")
+
+
+@query("store_upsert", oracle("SELECT id, CASE WHEN id % 3 = 0 THEN access_count + 100 ELSE access_count END AS access_count FROM history WHERE id % 2 = 0 OR id % 3 = 0"))
+def store_upsert(spark, sf):
+    """Rows put into a keyed store replace those of their key."""
+    h = b.history(spark, sf).select("id", "access_count")
+    return files.put(h.where("id % 2 = 0"), h.where("id % 3 = 0").withColumn("access_count", F.col("access_count") + 100), "id")
+
+
+@query("store_cleared", "SELECT 0 AS n")
+def store_cleared(spark, sf):
+    return files.clear(b.history(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query("list_without", "SELECT p_partkey FROM part WHERE NOT (p_size < 10 AND p_brand <> 'Brand#1')")
+def list_without(spark, sf):
+    """A list after a conditional delete."""
+    return files.remove_all(b.read(spark, sf, "part"), (F.col("p_size") < 10) & (F.col("p_brand") != "Brand#1")).select("p_partkey")
+
+
+@query("first_match", oracle("SELECT id, title FROM catalog WHERE starts_with(title, 'red') ORDER BY title, id LIMIT 1"))
+def first_match(spark, sf):
+    return files.first_match(b.catalog(spark, sf).select("id", "title"), F.startswith("title", F.lit("red")), "title", "id")
+
 
-    schema = b.read(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    name = f"history_{uuid.uuid4().hex}"
-    q = stream.counters(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name).select("id", "access_count", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_accessed", "first_accessed")])
+# Scores and titles, and their places by score and locale.
+RANKS = {"b": (5, 3), "B": (5, 4), "a": (5, 1), "é": (5, 6), "e": (5, 5), "A": (5, 2), "z": (9, 0)}
 
 
+@query("popularity_by_locale", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {p})" for t, (_, p) in RANKS.items()) + ") t(title, place)")
+def popularity_by_locale(spark, sf):
+    """Equal scores are in the order of a locale, not of bytes."""
+    rows = spark.createDataFrame([(t, s) for t, (s, _) in RANKS.items()], "title string, score int")
+    ranked = rows.orderBy(F.desc("score"), ops.by_locale("title")).agg(F.collect_list("title").alias("titles"))
+    return ranked.select(F.posexplode("titles").alias("place", "title")).select("title", "place")

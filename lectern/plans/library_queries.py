@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import intervals, library, tree
+from lectern.operators import intervals, library, ordering, tree
 from lectern.plans.registry import query
+from lectern.sources import files
 from lectern.sources import tables as b
 from lectern.sources.tables import oracle
 
-#: Keys that the point queries ask for.
-BOOK, SOURCE = 3, 7
+#: The book that point queries ask for.
+BOOK = 3
 
 
 @query("all_categories", oracle("SELECT DISTINCT * FROM category"))
@@ -62,10 +63,9 @@ def toc_paths(spark, sf):
 
 @query("toc_flattened", oracle("SELECT e.id, row_number() OVER (ORDER BY CASE WHEN e.level = 0 THEN e.id WHEN e.level = 1 THEN e.parent_id ELSE n.parent_id END, e.level > 0, CASE WHEN e.level = 1 THEN e.id ELSE e.parent_id END, e.level > 1, e.id) - 1 AS place FROM toc_entry e LEFT JOIN toc_entry n ON n.id = e.parent_id"))
 def toc_flattened(spark, sf):
-    """Depth-first order; places are numbered over one sorted key."""
+    """Depth-first order: places by the sort key of the paths."""
     keys = tree.paths(b.toc_entry(spark, sf).withColumn("title", F.lit("")), order=None, only_parents="has_children")
-    ordered = keys.orderBy("sort_path").select("id", "sort_path")
-    return ordered.withColumn("place", F.expr("row_number() OVER (ORDER BY sort_path) - 1")).select("id", "place")
+    return ordering.numbered(keys.select("id", "sort_path"), "sort_path").select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("alt_toc_by_line", oracle("SELECT line_index, id, text, level FROM toc WHERE is_alt = 1 AND line_index IS NOT NULL AND coalesce(text, '') <> ''", f"toc AS ({_TOC})"))
@@ -77,7 +77,7 @@ def alt_toc_by_line(spark, sf):
 _LINKS = "SELECT l.target_line_id, l.target_book_id, l.connection_type_id, k.title, t.content, t.line_index FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id = {0}"
 
 
-def _links(spark, sf, kind=None, source=SOURCE):
+def _links(spark, sf, kind=None, source=-1):
     return library.links(b.link(spark, sf), b.target_line(spark, sf), b.book(spark, sf), source, kind)
 
 
@@ -88,26 +88,25 @@ def links(spark, sf):
     return _links(spark, sf, source=busy.source_line_id if busy else -1).orderBy("title", "target_line_id")
 
 
-@query("links_by_type", oracle(_LINKS.format(SOURCE) + " AND l.connection_type_id = 2"))
+@query("links_by_type", oracle("SELECT l.target_line_id, l.target_book_id, l.connection_type_id, k.title, t.content, t.line_index FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id = (SELECT source_line_id FROM link WHERE connection_type_id = 2 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AND l.connection_type_id = 2"))
 def links_by_type(spark, sf):
-    return _links(spark, sf, 2)
+    """Cross-references of one kind, of the source that has most of them."""
+    busy = b.link(spark, sf).where("connection_type_id = 2").groupBy("source_line_id").count().orderBy(F.desc("count"), "source_line_id").first()
+    return _links(spark, sf, 2, busy.source_line_id if busy else -1)
 
 
-@query("line_links", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM line n JOIN link l ON l.source_line_id = n.book_id WHERE n.line_index = 0 AND n.book_id < 50"))
+@query("line_links", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM source_line n JOIN link l ON l.source_line_id = n.id"))
 def line_links(spark, sf):
-    """The dependent lookup (book, line) to its links, as one join."""
-    return _line_links(spark, sf, "book_id < 50")
+    """The dependent lookup (book, line) to a line's id to its links, as one join over all lines."""
+    return library.links_of_lines(b.source_line(spark, sf), b.link(spark, sf))
 
 
-@query("line_links_whole", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM line n JOIN link l ON l.source_line_id = n.book_id WHERE n.line_index = 0"))
-def line_links_whole(spark, sf):
-    """As line_links, of all books."""
-    return _line_links(spark, sf, "true")
-
-
-def _line_links(spark, sf, which):
-    first = b.line(spark, sf).where("line_index = 0").where(which).select("book_id", "line_index")
-    return first.join(b.link(spark, sf), F.col("source_line_id") == F.col("book_id")).select("book_id", "line_index", "target_line_id", "connection_type_id")
+@query("line_links_at", oracle("SELECT n.book_id, n.line_index, l.target_line_id, l.connection_type_id FROM source_line n JOIN link l ON l.source_line_id = n.id JOIN (SELECT s.book_id, s.line_index FROM source_line s JOIN link k ON k.source_line_id = s.id WHERE k.connection_type_id = 3 ORDER BY s.id LIMIT 1) f ON f.book_id = n.book_id AND f.line_index = n.line_index WHERE l.connection_type_id = 3"))
+def line_links_at(spark, sf):
+    """Links of one kind of the first line that has some."""
+    some = b.link(spark, sf).where("connection_type_id = 3").select(F.col("source_line_id").alias("id"))
+    first = b.source_line(spark, sf).join(some, "id", "left_semi").orderBy("id").first()
+    return library.links_of_lines(b.source_line(spark, sf), b.link(spark, sf), first.book_id, first.line_index, 3)
 
 
 @query("line_range", oracle(f"SELECT line_index, content FROM line WHERE book_id = {BOOK} AND line_index BETWEEN 1 AND 5"))
@@ -140,6 +139,34 @@ def search_lines_like(spark, sf):
     return library.search_like(b.line(spark, sf), BOOK, "en")
 
 
+@query("line_ranges", oracle("SELECT book_id, line_index, content FROM line WHERE line_index BETWEEN 0 AND 4 OR line_index BETWEEN 3 AND 6 OR line_index BETWEEN 9 AND 12"))
+def line_ranges(spark, sf):
+    """Several ranges loaded at once, overlapping ones without repeats."""
+    return library.line_ranges(b.line(spark, sf), [(0, 4), (3, 6), (9, 12)]).select("book_id", "line_index", "content")
+
+
+@query("flattened_ranges", oracle("SELECT book_id, line_index, length(content) AS size FROM line WHERE (line_index < 3 OR line_index BETWEEN 5 AND 7) AND length(content) > 40"))
+def flattened_ranges(spark, sf):
+    """Arrays of two ranges, flattened, mapped and filtered, and rows again."""
+    lines = b.line(spark, sf)
+    part = lambda test: F.collect_list(F.when(test, F.struct("line_index", "content")))
+    nested = lines.where("line_index < 8").groupBy("book_id").agg(F.array(part(F.col("line_index") < 3), part(F.col("line_index").between(5, 7))).alias("ranges"))
+    sizes = F.transform(F.flatten("ranges"), lambda x: F.struct(x["line_index"].alias("line_index"), F.length(x["content"]).cast("long").alias("size")))
+    return nested.select("book_id", F.inline(F.filter(sizes, lambda x: x["size"] > 40)))
+
+
+@query("line_pages", oracle("SELECT book_id, line_index // 20 AS page, count(*) AS n FROM line GROUP BY ALL"))
+def line_pages(spark, sf):
+    """Lines by the batches that a scan loads one after the other."""
+    return b.line(spark, sf).groupBy("book_id", files.page(F.col("line_index"), 20).alias("page")).agg(F.count("*").alias("n"))
+
+
+@query("search_lines_literal", oracle("SELECT id FROM line WHERE contains(lower(regexp_replace(content, '<[^>]*>', '', 'g')), '%')"))
+def search_lines_literal(spark, sf):
+    """A term that would be a wildcard, taken as it is, in all books."""
+    return library.search_literal(b.line(spark, sf), "%").select("id")
+
+
 @query("line_counts", oracle("SELECT book_id, count(*) AS n_lines, max(line_index) AS last FROM line GROUP BY 1"))
 def line_counts(spark, sf):
     return b.line(spark, sf).groupBy("book_id").agg(F.count("*").alias("n_lines"), F.max("line_index").alias("last"))
@@ -172,9 +199,10 @@ def book_paths(spark, sf):
     return b.book(spark, sf).join(p, "category_id").select("id", "path")
 
 
-@query("category_orphans", oracle("SELECT id, title FROM category c WHERE coalesce(parent_id, 0) <> 0 AND NOT EXISTS (SELECT 1 FROM category p WHERE p.id = c.parent_id)"))
+@query("category_orphans", oracle("SELECT id, title FROM category c WHERE coalesce(parent_id, 0) <> 0 AND NOT EXISTS (SELECT 1 FROM category p WHERE p.id = c.parent_id AND p.title <> 'ASIA' AND p.id <> 2)"))
 def category_orphans(spark, sf):
-    return tree.orphans(b.category(spark, sf)).select("id", "title")
+    """What is left without a parent once one root is gone."""
+    return tree.orphans(files.remove_all(b.category(spark, sf), (F.col("id") == 2) | (F.col("title") == "ASIA"))).select("id", "title")
 
 
 @query("books_by_category", oracle("SELECT c.id AS category_id, b.id AS book_id, b.title, coalesce(row_number() OVER (PARTITION BY c.id ORDER BY b.order_index, b.id), 0) - 1 AS place, count(b.id) OVER (PARTITION BY c.id) AS n FROM category c LEFT JOIN book b ON b.category_id = c.id"))
@@ -186,71 +214,37 @@ def books_by_category(spark, sf):
 
 @query(
     "commentary_groups",
-    oracle(
-        "SELECT coalesce(nullif(title, ''), 'אחר') AS \"group\", arg_min(target_book_id, o) AS target_book_id, arg_min(line_index, o) AS target_line_index, count(*) AS n_links FROM f GROUP BY 1",
-        "f AS (SELECT l.*, CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END AS title, t.line_index, (coalesce(CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END, ''), l.target_line_id, l.target_book_id, l.connection_type_id) AS o FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id < 500)",
-    ),
-)
-def commentary_groups(spark, sf):
-    """Groups of the links of the first sources; every fifth book counts as untitled."""
-    return _commentary_groups(spark, sf, "source_line_id < 500")
-
-
-@query(
-    "commentary_groups_whole",
     oracle(
         "SELECT coalesce(nullif(title, ''), 'אחר') AS \"group\", arg_min(target_book_id, o) AS target_book_id, arg_min(line_index, o) AS target_line_index, count(*) AS n_links FROM f GROUP BY 1",
         "f AS (SELECT l.*, CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END AS title, t.line_index, (coalesce(CASE WHEN k.id % 5 = 0 THEN NULL ELSE k.title END, ''), l.target_line_id, l.target_book_id, l.connection_type_id) AS o FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id)",
     ),
 )
-def commentary_groups_whole(spark, sf):
-    """As commentary_groups, of all links."""
-    return _commentary_groups(spark, sf, "true")
-
-
-def _commentary_groups(spark, sf, which):
-    found = library.links(b.link(spark, sf).where(which), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
-    found = found.withColumn("title", F.when(F.col("target_book_id") % 5 != 0, F.col("title")))
+def commentary_groups(spark, sf):
+    """Groups of all links; every fifth book counts as untitled."""
+    found = _all_links(spark, sf).withColumn("title", F.when(F.col("target_book_id") % 5 != 0, F.col("title")))
     return library.commentary_groups(found).drop("links")
 
 
-@query("commentary_items", oracle("SELECT k.title AS \"group\", row_number() OVER (PARTITION BY k.title ORDER BY l.target_line_id, t.content) - 1 AS place, l.target_line_id, t.content FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id < 200"))
+@query("commentary_items", oracle("SELECT k.title AS \"group\", row_number() OVER (PARTITION BY k.title ORDER BY l.target_line_id, t.content) - 1 AS place, l.target_line_id, t.content FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id"))
 def commentary_items(spark, sf):
     """Nested groups flattened again, keyed by group and place."""
-    return _commentary_items(spark, sf, "source_line_id < 200")
+    return library.commentary_groups(_all_links(spark, sf)).select("group", F.posexplode("links").alias("place", "x")).select("group", F.col("place").cast("long").alias("place"), "x.target_line_id", "x.content")
 
 
-@query("commentary_items_whole", oracle("SELECT k.title AS \"group\", row_number() OVER (PARTITION BY k.title ORDER BY l.target_line_id, t.content) - 1 AS place, l.target_line_id, t.content FROM link l JOIN target_line t ON t.id = l.target_line_id JOIN book k ON k.id = l.target_book_id"))
-def commentary_items_whole(spark, sf):
-    """As commentary_items, of all links."""
-    return _commentary_items(spark, sf, "true")
+def _all_links(spark, sf):
+    return library.links(b.link(spark, sf), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
 
 
-def _commentary_items(spark, sf, which):
-    found = library.links(b.link(spark, sf).where(which), b.target_line(spark, sf), b.book(spark, sf), F.col("source_line_id"))
-    return library.commentary_groups(found).select("group", F.posexplode("links").alias("place", "x")).select("group", F.col("place").cast("long").alias("place"), "x.target_line_id", "x.content")
-
-
-@query("commentary_group_position", oracle("SELECT min(p) AS place FROM (SELECT id, row_number() OVER (ORDER BY title) - 1 AS p FROM book) WHERE id = 8"))
+@query("commentary_group_position", oracle("SELECT min(p) AS place FROM (SELECT id, row_number() OVER (ORDER BY title, id) - 1 AS p FROM book) WHERE id = 8"))
 def commentary_group_position(spark, sf):
     """Place of the first group with a saved target, in title order."""
-    placed = b.book(spark, sf).select("id", F.expr("row_number() OVER (ORDER BY title) - 1").cast("long").alias("p"))
+    placed = ordering.numbered(b.book(spark, sf).select("id", "title"), "title", "id", name="p")
     return placed.where("id = 8").agg(F.min("p").alias("place"))
 
 
-@query("group_target_books", oracle("SELECT DISTINCT l.target_book_id AS id, k.title, k.total_lines FROM link l JOIN book k ON k.id = l.target_book_id WHERE l.source_line_id < 100"))
+@query("group_target_books", oracle("SELECT DISTINCT l.target_book_id AS id, k.title, k.total_lines FROM link l JOIN book k ON k.id = l.target_book_id"))
 def group_target_books(spark, sf):
-    return _target_books(spark, sf, "source_line_id < 100")
-
-
-@query("group_target_books_whole", oracle("SELECT DISTINCT l.target_book_id AS id, k.title, k.total_lines FROM link l JOIN book k ON k.id = l.target_book_id"))
-def group_target_books_whole(spark, sf):
-    """As group_target_books, of all links."""
-    return _target_books(spark, sf, "true")
-
-
-def _target_books(spark, sf, which):
-    targets = b.link(spark, sf).where(which).select(F.col("target_book_id").alias("id")).distinct()
+    targets = b.link(spark, sf).select(F.col("target_book_id").alias("id")).distinct()
     return b.book(spark, sf).join(targets, "id", "left_semi").select("id", "title", "total_lines")
 
 

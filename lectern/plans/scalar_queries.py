@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scalar as s
 from lectern.plans.registry import query
 from lectern.sources import tables as b
+from lectern.sources.tables import oracle
 
 # Numbers and their numerals.
 NUMERALS = {1: "א", 15: "טו", 16: "טז", 115: "קטו", 272: "ערב", 744: "תדשם", 5784: "ה׳תשפד", 400: "ת", 999: "תתקצט", 304: "דש"}
@@ -30,10 +31,24 @@ def hebrew_numerals_round_trip(spark, sf):
     return back.groupBy("n").agg(F.sum((F.col("n") == F.col("back")).cast("long")).alias("same"))
 
 
-@query("hebrew_dates")
+# The calendar once more as SQL: days to the new year of each year, the lengths of its months, and days counted on from there.
+_NUMERAL = "CASE WHEN {0} >= 400 THEN repeat('ת', ({0} // 400)::INT) || coalesce(substr('קרש', nullif(({0} % 400) // 100, 0)::INT, 1), '') ELSE coalesce(substr('קרש', nullif({0} // 100, 0)::INT, 1), '') END || CASE WHEN {0} % 100 = 15 THEN 'טו' WHEN {0} % 100 = 16 THEN 'טז' ELSE coalesce(substr('יכלמנסעפצ', nullif({0} % 100 // 10, 0)::INT, 1), '') || coalesce(substr('אבגדהוזחט', nullif({0} % 10, 0)::INT, 1), '') END"
+_DATES = f"""WITH y AS (SELECT y, 29 * m + (12084 + 13753 * m) // 25920 AS d FROM (SELECT y, (235 * y - 234) // 19 AS m FROM range(5700, 5900) t(y))),
+e AS (SELECT y, CASE WHEN 3 * (d + 1) % 7 < 3 THEN d + 1 ELSE d END AS d FROM y),
+s AS (SELECT y, d + CASE WHEN lead(d) OVER w - d = 356 THEN 2 WHEN d - lag(d) OVER w = 382 THEN 1 ELSE 0 END AS d FROM e WINDOW w AS (ORDER BY y)),
+years AS (SELECT y, d, lead(d) OVER (ORDER BY y) - d AS size, (7 * y + 1) % 19 < 7 AS leap FROM s),
+months(k, name) AS (VALUES (1, 'תשרי'), (2, 'חשון'), (3, 'כסלו'), (4, 'טבת'), (5, 'שבט'), (6, 'אדר א'), (7, 'אדר ב'), (8, 'אדר'), (9, 'ניסן'), (10, 'אייר'), (11, 'סיון'), (12, 'תמוז'), (13, 'אב'), (14, 'אלול')),
+lengths AS (SELECT y, d, k, name, CASE WHEN k = 2 AND size % 10 = 5 THEN 30 WHEN k = 2 THEN 29 WHEN k = 3 AND size % 10 = 3 THEN 29 WHEN k IN (1, 3, 5, 6, 9, 11, 13) THEN 30 ELSE 29 END AS n FROM years, months WHERE k NOT IN (6, 7, 8) OR leap = (k < 8)),
+spans AS (SELECT *, d + sum(n) OVER (PARTITION BY y ORDER BY k) - n AS first FROM lengths),
+days AS (SELECT DISTINCT o_orderdate::TIMESTAMP AS t, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 719163 + 1373427 AS n FROM orders)
+SELECT t, {_NUMERAL.format("(days.n - first + 1)")} || ' ' || name || ' ' || {_NUMERAL.format("(y % 1000)")} AS date, ['יום ראשון', 'יום שני', 'יום שלישי', 'יום רביעי', 'יום חמישי', 'יום שישי', 'שבת'][dayofweek(t) + 1] || ' ' || {_NUMERAL.format("(days.n - first + 1)")} || ' ' || name || ' ' || {_NUMERAL.format("(y % 1000)")} AS long_date, strftime(t, '%H:%M') AS clock
+FROM days JOIN spans ON days.n >= spans.first AND days.n < spans.first + spans.n"""
+
+
+@query("hebrew_dates", _DATES)
 def hebrew_dates(spark, sf):
     days = b.read(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("t")).distinct()
-    return days.select("t", s.hebrew_date_text(F.col("t")).alias("date"), s.hebrew_date_text(F.col("t"), True).alias("long_date"), F.date_format("t", "HH:mm").alias("clock"))
+    return days.select(F.col("t").cast("timestamp_ntz").alias("t"), s.hebrew_date_text(F.col("t")).alias("date"), s.hebrew_date_text(F.col("t"), True).alias("long_date"), F.date_format("t", "HH:mm").alias("clock"))
 
 
 _PARTS = "list_transform(string_split(regexp_replace({0}, '^[vV]+', ''), '.'), lambda x: x::INT)"
@@ -130,5 +145,11 @@ def clamped_range(spark, sf):
 
 @query("positional_parameters", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'O'")
 def positional_parameters(spark, sf):
-    orders = b.read(spark, sf, "orders")
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = :customer AND o_orderstatus = :status", args={"customer": 7, "status": "O"}, orders=orders)
+    return b.statement(spark, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = ? AND o_orderstatus = ?", [7, "O"], orders=b.read(spark, sf, "orders"))
+
+
+@query("any_statement", oracle("SELECT k.title, count(*) AS n, max(t.content) AS last FROM link l JOIN book k ON k.id = l.target_book_id JOIN target_line t ON t.id = l.target_line_id WHERE l.connection_type_id = 3 GROUP BY 1 HAVING count(*) > 2"))
+def any_statement(spark, sf):
+    """A statement of joins and groups with parameters, over bound tables."""
+    sql = "SELECT k.title, count(*) AS n, max(t.content) AS last FROM {link} l JOIN {book} k ON k.id = l.target_book_id JOIN {line} t ON t.id = l.target_line_id WHERE l.connection_type_id = ? GROUP BY 1 HAVING count(*) > ?"
+    return b.statement(spark, sql, [3, 2], link=b.link(spark, sf), book=b.book(spark, sf), line=b.target_line(spark, sf))

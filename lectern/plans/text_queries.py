@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as f
 from lectern.plans.registry import query
+from lectern.session import new_folder
 from lectern.sources import files
 from lectern.sources import tables as b
 from lectern.sources.tables import oracle
@@ -46,10 +47,11 @@ def display_filter(spark, sf):
     return shown[0].union(shown[1]).union(shown[2])
 
 
-@query("display_filter_lines", oracle("SELECT id, replace(regexp_replace(content, '[?!]', '.', 'g'), '—', '') AS text FROM line WHERE NOT contains(content, '<') AND NOT contains(content, '>')"))
+@query("display_filter_lines", oracle("SELECT id, '<a title=\"Wow! — why?\">' || replace(regexp_replace(content, '[?!]', '.', 'g'), '—', '') || '</a>' AS text FROM line"))
 def display_filter_lines(spark, sf):
-    plain = b.line(spark, sf).where(~F.contains("content", F.lit("<")) & ~F.contains("content", F.lit(">")))
-    return plain.select("id", f.display_filter(F.col("content"), 2).alias("text"))
+    """All lines, each inside of markup whose attribute must stay as it is."""
+    marked = F.concat(F.lit('<a title="Wow! — why?">'), "content", F.lit("</a>"))
+    return b.line(spark, sf).select("id", f.display_filter(marked, 2).alias("text"))
 
 
 @query("censor", _values(NAMES, "text", "censored"))
@@ -119,3 +121,29 @@ def rows_as_json(spark, sf):
 def json_round_trip(spark, sf):
     parsed = b.read(spark, sf, "events").select("event_id", F.from_json("props", "k long").alias("p"))
     return parsed.select("event_id", F.from_json(F.to_json("p"), "k long")["k"].alias("k"))
+
+
+@query("json_lines_written", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
+def json_lines_written(spark, sf):
+    """A table written as JSON and read again with its types."""
+    path = new_folder(spark, "json")
+    files.write_json(b.read(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), path)
+    return files.read_json(spark, path, "key long, name string, region long", lines=True)
+
+
+@query("catalog_csv_written", "SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand || ', \"x\"' AS author, replace(p_type || ';b', ';', ' \\ ') AS tags FROM part")
+def catalog_csv_written(spark, sf):
+    """The catalog written as rows by position, with separators and quotes in values, and read again."""
+    blank = F.lit("p")
+    rows = b.read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat("p_brand", F.lit(', "x"')).alias("author"), blank.alias("printing_place"), blank.alias("printing_year"), blank.alias("pages"), F.concat("p_type", F.lit(";b")).alias("tags"))
+    path = new_folder(spark, "csv")
+    files.write_catalog_csv(rows, path)
+    return files.catalog_csv(spark, path).select("id", "title", "author", "tags")
+
+
+@query("typed_record", "SELECT p_partkey, p_name AS tag, p_brand AS asset, 2 AS n_assets FROM part")
+def typed_record(spark, sf):
+    """A fetched JSON text as a typed record with a nested list; unknown fields are ignored."""
+    text = F.to_json(F.struct(F.col("p_name").alias("tag_name"), F.lit(1).alias("other"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit("z").alias("name"))).alias("assets")))
+    made = b.read(spark, sf, "part").select("p_partkey", F.from_json(text, "tag_name string, assets array<struct<name: string, url: string>>").alias("r"))
+    return made.select("p_partkey", F.col("r.tag_name").alias("tag"), F.get("r.assets.name", F.lit(0)).alias("asset"), F.size("r.assets").alias("n_assets"))

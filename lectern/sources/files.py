@@ -25,8 +25,14 @@ def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     return whole.withColumn("tags", tag_separator(F.coalesce("tags", F.lit(""))))
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def write_catalog_csv(catalog: DataFrame, path: str) -> None:
+    """Rows by position without a header; quotes inside of values are doubled."""
+    catalog.select(*CATALOG).write.mode("overwrite").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path, header=False)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files that hold one document or array each, or (lines) one document a line."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -54,6 +60,26 @@ def batches(df: DataFrame, index: str, size: int = 200) -> Iterator[list[Row]]:
         yield held
 
 
+def page(index: Column, size: int = 200) -> Column:
+    """The batch that a row belongs to: ranges of so many indices."""
+    return F.floor(index / size).cast("long")
+
+
+def clear(table: DataFrame) -> DataFrame:
+    """A keyed store without its rows."""
+    return table.limit(0)
+
+
+def remove_all(table: DataFrame, which: Column) -> DataFrame:
+    """Without the rows that fit; a row of which that can't be told stays."""
+    return table.where(~F.coalesce(which, F.lit(False)))
+
+
+def first_match(table: DataFrame, which: Column, *order: str) -> DataFrame:
+    """The first row that fits, or none."""
+    return table.where(which).orderBy(*order).limit(1)
+
+
 def put(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """A keyed store after an upsert: rows replace those of the same key."""
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.dropDuplicates([key]))

@@ -46,6 +46,16 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_line_id"), F.col("l_partkey").alias("target_line_id"), F.col("l_suppkey").alias("target_book_id"), kind.alias("connection_type_id"))
 
 
+def source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that links begin at: orders, by customer."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("book_id"), (F.col("o_orderkey") % 1000).cast("int").alias("line_index"))
+
+
+def statement(spark: SparkSession, sql: str, parameters: list | None = None, **tables: DataFrame) -> DataFrame:
+    """Any statement over the tables, named in braces; each ? takes the next parameter. What can't be run is an error."""
+    return spark.sql(sql, args=parameters, **tables)
+
+
 def connection_type(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CONNECTIONS.items()), "id int, name string")
 
@@ -98,6 +108,7 @@ book AS (SELECT s_suppkey AS id, (s_nationkey + 100)::INT AS category_id, s_name
 line AS (SELECT doc_id * {LINES} + i AS id, doc_id AS book_id, i::INT AS line_index, parts[i + 1] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(range(len(parts))) AS t(i)),
 target_line AS (SELECT p_partkey AS id, p_name AS content, (p_partkey % 1000)::INT AS line_index FROM part),
 link AS (SELECT l_orderkey AS source_line_id, l_partkey AS target_line_id, l_suppkey AS target_book_id, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS connection_type_id FROM lineitem),
+source_line AS (SELECT o_orderkey AS id, o_custkey AS book_id, (o_orderkey % 1000)::INT AS line_index FROM orders),
 connection_type(id, name) AS (VALUES {", ".join(f"({k}, '{v}')" for k, v in CONNECTIONS.items())}),
 inner_entry AS (SELECT id::BIGINT AS id, parent_id::BIGINT AS parent_id, level, NULL::BIGINT AS line_id, true AS has_children FROM category),
 toc_entry AS (SELECT id, 1 AS book_id, parent_id, id AS text_id, level, line_id, has_children FROM (SELECT * FROM inner_entry UNION ALL SELECT c_custkey + 1000, (c_nationkey + 100)::BIGINT, 2, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END, false FROM customer)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.catalog import HISTORY, history_of, merge_history, newest
+from lectern.operators.search import matches
 
 
 def counters(events: DataFrame, key: str = "user_id", at: str = "ts") -> DataFrame:
@@ -14,6 +15,32 @@ def counters(events: DataFrame, key: str = "user_id", at: str = "ts") -> DataFra
     return history_of(events.withColumn(at, F.col(at).cast("timestamp")), key, at)
 
 
+def collected(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for the input there is, as a table under path.
+
+    Each micro-batch is written to a folder of its number, so one that is run again replaces itself; in complete mode the
+    last batch holds all rows.
+    """
+    spark = stream.sparkSession
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/batch={k}" for k in wanted])
+
+
+def searched(lines: DataFrame, query: str) -> DataFrame:
+    """Matches in lines as they come in: each micro-batch is searched when it arrives, as matches() does a table."""
+    return matches(lines, query)
+
+
 def first_lines(lines: DataFrame, at: str, *key: str) -> DataFrame:
     """Streamed lines without those that came before, within the watermark of a day."""
     return lines.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, "1 day").dropDuplicatesWithinWatermark(list(key))

@@ -134,13 +134,89 @@ def test_regex_over_lines_beyond_ascii(spark):
     assert {r.id for r in q.slop(d).collect()} == {i for i, t in enumerate(texts) if re.search(r'the\b\W+(?:[\w"]+\W+){0,2}and', t or "")}
 
 
-def test_whole_queries_go_beyond_the_first_keys(spark, sf):
-    from lectern.plans import registry
-    from lectern.sources import tables
-
-    at = sf.replace("sf0.001", "sf0.01")
-    assert registry.QUERIES["line_links_whole"](spark, at).where("book_id >= 50").count() > 0
-    for name in ("content_search_ordinals", "regex_count_by_line", "regex_slop", "commentary_items", "group_target_books"):
-        assert registry.QUERIES[f"{name}_whole"](spark, at).count() > registry.QUERIES[name](spark, at).count(), name
-    links = [registry.QUERIES[name](spark, at).agg({"n_links": "sum"}).first()[0] for name in ("commentary_groups", "commentary_groups_whole")]
-    assert links[1] == tables.link(spark, at).count() > links[0]
+def test_replace_first_keeps_the_pattern_as_it_is(spark):
+    one = lambda *x: spark.range(1).select(regexfind.replace_first(F.lit(x[0]), x[1], x[2])).first()[0]
+    assert one("a\nb", "a.b", "X") == "a\nb"
+    assert one("xaby ab", "(a)b", "[$0]") == "x[ab]y ab"
+    assert one("xyy aa", r"(\w)\1", "Z") == "xZ aa"
+    assert one("1é2", r"\p{L}", "L") == "1L2"
+    assert one("foo bar foo", "(?<=bar )foo", "$0!") == "foo bar foo!"
+    assert one("a\nb\nc", "^(b)$", r"\$1$1") == "a\n$1b\nc"
+    assert one("😀 x x", "x", "y") == "😀 y x"
+    assert one("abc", "z*", "-") == "-abc" and one("abc", "(?i)B|q", "-") == "a-c"
+
+
+def test_versions_with_large_parts(spark):
+    from lectern.functions.scalar import compare_versions
+
+    one = lambda a, b: spark.range(1).select(compare_versions(F.lit(a), F.lit(b))).first()[0]
+    assert [one("1.99999999999", "1.2"), one("v1.10", "1.9"), one("1.2", "v1.2"), one("1.9", "1.10"), one("a", "B")] == [1, 1, 0, -1, -1]
+
+
+def test_hebrew_dates_once_a_day(spark):
+    from datetime import datetime
+
+    from lectern.functions.scalar import hebrew_date_text
+
+    d = spark.createDataFrame([(datetime(2024, 10, 3, 5),), (datetime(2024, 10, 3, 9),), (None,), (datetime(2024, 3, 24),)], "t timestamp")
+    assert [r[0] for r in d.coalesce(1).select(hebrew_date_text(F.col("t"))).collect()] == ["א תשרי תשפה", "א תשרי תשפה", None, "יד אדר ב תשפד"]
+
+
+def test_places_and_running_totals(spark):
+    from lectern.operators import ordering
+
+    d = spark.createDataFrame([(k * 7 % 101, f"v{k}", 5) for k in range(101)], "k int, place string, _value int").repartition(6)
+    got = {r.k: (r.at, r.place) for r in ordering.numbered(d, "k", name="at").collect()}
+    assert got == {k * 7 % 101: (k * 7 % 101, f"v{k}") for k in range(101)}
+    assert {r.k: r.before for r in ordering.running_total(d.drop("_value"), F.col("k").cast("long"), "k").collect()} == {k: k * (k - 1) // 2 for k in range(101)}
+    assert ordering.numbered(d.limit(0), "k", name="at").count() == 0
+
+
+def test_running_folds_in_blocks(spark):
+    from lectern.functions.arrays import running
+
+    step = lambda state, x: F.struct((state + x).cast("int").alias("state"), state.alias("out"))
+    for n in (0, 1, 63, 64, 65, 1000):
+        items = F.lit(list(range(n))) if n else F.array().cast("array<int>")
+        assert spark.range(1).select(running(items, 0, step, "int")).first()[0] == [k * (k - 1) // 2 for k in range(n)]
+
+
+def test_matches_of_one_long_text(spark):
+    """Positions and snippets of very many matches, in time in proportion to them."""
+    import time
+
+    def took(n):
+        d = spark.createDataFrame([(1, "ab hit " * n)], "id int, text string")
+        began = time.time()
+        got = regexfind.find_all(d, "hit").agg(F.count("*"), F.max("start"), F.max("length")).first()
+        assert tuple(got) == (n, 7 * n - 4, 3)
+        return time.time() - began
+
+    took(1000)
+    assert took(8000) < 8 * took(2000) + 2
+
+
+def test_store_and_lists(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
+    assert [r.k for r in files.remove_all(d, F.col("v") == "a").collect()] == [2, 3]
+    assert files.first_match(d, F.col("k") > 1, "k").first().k == 2 and files.first_match(d, F.col("k") > 5, "k").count() == 0
+    assert files.clear(d).count() == 0 and files.clear(d).columns == d.columns
+    (tmp_path / "one.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r.a for r in files.read_json(spark, str(tmp_path / "one.json"), "a int").collect()) == [1, 2]
+
+
+def test_statements_raise_what_they_cannot_run(spark):
+    import pytest
+
+    from lectern.sources.tables import statement
+
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert statement(spark, "SELECT v FROM {d} WHERE k = ?", [2], d=d).first().v == "b"
+    with pytest.raises(Exception, match="nothing"):
+        statement(spark, "SELECT nothing FROM {d}", d=d)
+
+
+def test_temporary_views_are_gone(spark):
+    n = spark.createDataFrame([(1, None, "A", 0)], "id int, parent_id int, title string, order_index int")
+    before = len(spark.catalog.listTables())
+    assert tree.paths(n).count() == 1 and len(spark.catalog.listTables()) == before
