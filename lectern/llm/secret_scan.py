@@ -2,6 +2,10 @@
 
 Three base patterns find assignments, access keys and runs of hex digits. A pair of character Markov models, one of
 random strings and one of ordinary identifiers, then judges every other long token by its log-likelihood ratio.
+
+The models learn from labelled samples. Random strings are the values that the base patterns find in a sample of rows
+and generated ones; ordinary identifiers are the words of the same rows once everything that a base pattern matches is
+cut out. Running sums over a text's matches are folded by blocks, so their cost grows little faster than the matches.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doubles, share
+from lectern.functions.arrays import running
+from lectern.llm.common import doubles, durable, share
 
 # The base patterns. Groups: the whole match.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -25,7 +30,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{16,}+"
 
 #: The models' characters; others count as the last one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-#: Labelled samples: so many random strings, and identifiers of so many rows at most (by a hash of the row).
+#: Labelled samples: so many generated strings, and secrets and identifiers of so many rows at most (by a hash of the row).
 RANDOM_STRINGS, SAMPLE_ROWS = 4000, 2000
 #: A token is a secret at this log-likelihood ratio (natural) per transition, or more.
 RATIO = 0.5
@@ -37,18 +42,25 @@ def _spans(text: Column, pattern: str, kind: str, order: int) -> Column:
     return F.when(text.rlike(pattern), F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"))).otherwise(F.array().cast("array<struct<m:string,g:string>>"))
 
 
+_SPAN = "struct<s:int,e:int,o:int,k:string,m:string>"
+
+
 def _located(pairs: Column, kind: str, order: int) -> Column:
-    step = F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,o:int,k:string,m:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["g"])).alias("s"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("e"), F.lit(order).alias("o"), F.lit(kind).alias("k"), p["m"].alias("m")))).cast(
-                "array<struct<s:int,e:int,o:int,k:string,m:string>>"
-            ),
-        ),
-    )
-    return step["out"]
+    def step(at: Column, p: Column) -> Column:
+        s = at + F.length(p["g"])
+        e = s + F.length(p["m"])
+        return F.struct(e.alias("state"), F.struct(s.alias("s"), e.alias("e"), F.lit(order).alias("o"), F.lit(kind).alias("k"), p["m"].alias("m")).alias("out"))
+
+    return running(F.filter(pairs, lambda p: p["m"].isNotNull()), 0, step, _SPAN)
+
+
+def _untouched(tokens: Column, base: Column) -> Column:
+    """Tokens that no base span overlaps, by two passes over all spans in order: how far the base spans before reach, and where the next one begins."""
+    is_base = lambda x: x["o"] < 3
+    reach = running(F.array_sort(F.concat(base, tokens)), 0, lambda at, x: F.struct(F.when(is_base(x), F.greatest(at, x["e"])).otherwise(at).alias("state"), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["o"].alias("o"), x["k"].alias("k"), x["m"].alias("m"), at.alias("reach")).alias("out")), f"{_SPAN[:-1]},reach:int>")
+    after = running(F.reverse(reach), 2**31 - 1, lambda at, x: F.struct(F.when(is_base(x), x["s"]).otherwise(at).alias("state"), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["o"].alias("o"), x["k"].alias("k"), x["m"].alias("m"), (~is_base(x) & (x["reach"] <= x["s"]) & (at >= x["e"])).alias("free")).alias("out")), f"{_SPAN[:-1]},free:boolean>")
+    free = F.transform(F.filter(after, lambda x: x["free"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["o"].alias("o"), x["k"].alias("k"), x["m"].alias("m")))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(free.cast(f"array<{_SPAN}>"))
 
 
 def _joined(spans: Column) -> Column:
@@ -65,15 +77,30 @@ def _pairs(words: DataFrame) -> DataFrame:
 def train(docs: DataFrame, id: str, text: str) -> list[float]:
     """Log-likelihood ratios by pair of characters, row after row: log P(b | a, random) - log P(b | a, ordinary).
 
-    The random sample are RANDOM_STRINGS strings, hex and base-64 forms of digests of the numbers from 0; the ordinary
-    sample are the words of SAMPLE_ROWS rows at most that hold no base match. The table has one entry for each pair.
+    The labelled rows are SAMPLE_ROWS rows at most. The random sample are the values of their base matches, and
+    RANDOM_STRINGS digests of the numbers from 0 as hex, base 64 and base 36; the ordinary sample are the words of what
+    the base patterns leave of them, without those long ones that models of all of them take for random. The table has
+    one entry for each pair.
     """
-    spark, n = docs.sparkSession, len(ALPHABET)
+    spark = docs.sparkSession
     seed = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    random = seed.select(F.explode(F.array("h", F.translate(F.base64(F.unhex("h")), "=", ""), F.upper(F.substring(F.conv(F.substring("h", 1, 15), 16, 36), 1, 12)))).alias("word"))
-    plain = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string").alias("k"), F.col(text).alias("t")).withColumn("u", share("k", seed=29))
-    plain = plain.where(F.col("u") <= F.lit(1.2 * SAMPLE_ROWS / max(1, docs.count()))).where(~F.col("t").rlike(f"{ACCESS}|{HEX}"))
-    plain = plain.orderBy("u", "k").limit(SAMPLE_ROWS).select(F.explode(F.expr(r"regexp_extract_all(t, '[A-Za-z0-9+/_-]{4,}', 0)")).alias("word"))
+    made = seed.select(F.explode(F.array("h", F.translate(F.base64(F.unhex("h")), "=", ""), F.conv(F.substring("h", 1, 15), 16, 36))).alias("word"))
+    rows = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string").alias("k"), F.col(text).alias("t")).withColumn("u", share("k", seed=29))
+    rows = rows.where(F.col("u") <= F.lit(1.2 * SAMPLE_ROWS / max(1, docs.count()))).orderBy("u", "k").limit(SAMPLE_ROWS)
+    rows = durable(rows.select("t"), "secrets-sample")
+    values = F.filter(F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0)), lambda m: F.regexp_extract(m, ASSIGN_GROUP, 1)), lambda v: F.length(v) >= 16)
+    known = F.concat(values, *[F.filter(F.regexp_extract_all("t", F.lit(p), F.lit(0)), lambda m: F.length(m) >= 20) for p in (ACCESS, HEX)])
+    random = made.union(rows.where(F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(known)))
+    rest = F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    plain = rows.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("word"))
+    plain = durable(plain, "ordinary")
+    sure = _table(random, plain)
+    # Words that are as random as secrets are none of the ordinary ones: without them, once more.
+    return _table(random, plain.where((F.length("word") < 16) | (_ratio(F.col("word"), doubles(sure)) < RATIO / 2)))
+
+
+def _table(random: DataFrame, plain: DataFrame) -> list[float]:
+    n = len(ALPHABET)
     count = {kind: {(r.a, r.b): r["count"] for r in _pairs(w).collect()} for kind, w in (("random", random), ("plain", plain))}  # one row a pair of characters at most
     table = []
     for a in range(n):
@@ -120,8 +147,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ratio: float =
         "markov",
     )
     at = at.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("markov", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    at = at.withColumn("markov", F.filter(free, lambda x: _ratio(x["m"], values) >= ratio))
+    at = at.withColumn("markov", F.filter("markov", lambda x: _ratio(x["m"], values) >= ratio))
+    at = at.withColumn("markov", _untouched(F.col("markov"), F.col("base")))
     all_ = F.concat("base", "markov")
     return at.select(
         F.col("id").alias(id),

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,47 @@ def test_pages_give_their_article(spark, sf):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def test_pages_without_marked_parts_give_the_same(spark, sf):
+    """The windows alone find the article: what the page marks as article is a plain div here."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        plain = re.sub("<(/?)(?:article|main)\\b", r"<\1div", r.html)
+        assert html_extract.main_text(plain) == html_extract.main_text(r.html)
+
+
+def brute_windows(lines):
+    """Kept lines of a page without links and marks: of stretches without a window of empty lines, from the first with a surge to the last one, or else the largest."""
+    w, s = html_extract.WINDOW, html_extract.SURGE
+    # A left-out element is an empty line where it begins and one where it ends.
+    page = [y for x in lines for y in ([x] if x else ["", ""])]
+    full = [i for i, x in enumerate(page) if x]
+    hills = []
+    for i in full:
+        if hills and i - hills[-1][-1] <= w:
+            hills[-1].append(i)
+        else:
+            hills.append([i])
+    total = lambda i: sum(len(x) for x in page[i : i + w])
+    high = [h for h in hills if any(total(i) >= s for i in range(h[0], h[-1] + 1))] or sorted(hills, key=lambda h: sum(len(page[i]) for i in h))[-1:]
+    return " ".join(page[i] for h in hills if high[0][0] <= h[0] <= high[-1][0] for i in h)
+
+
+def test_surge_and_dive_by_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [rng.choice(["", "x" * rng.randrange(1, 15), "y" * rng.randrange(20, 90)]) for _ in range(rng.randrange(1, 25))]
+        page = "".join(f"<p>{x}</p>" if x else "<form>out</form>" for x in lines)
+        assert html_extract.main_text(page) == brute_windows(lines), lines
+
+
+def test_unmatched_tags_cost_no_more_than_their_number():
+    for page in ("<i>" * 40_000 + "</b>" * 40_000 + "end", "<b>" * 20_000 + "<p>x" * 20_000, "<div><i>" * 20_000 + "</b><p>y" * 20_000):
+        began = time.process_time()
+        assert html_extract.main_text(page)
+        assert time.process_time() - began < 2
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>if (a < b) "</p>";</script></head><body class="with-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div id="content"><h2>Head &amp; more</h2><p>First paragraph, long enough to make the windows surge, as it goes on for a while &mdash; and on.<div class="ad">Buy now!</div><p>Short.<p>Second <b>bo</b>ld
  line<br>after a break.</div><form><label>Mail</label><input></form><section id="comments"><p>A reader writes a long comment that must not be in the text, although it is prose as well.</section><aside>Related</aside><footer>&copy; x</footer>"""
@@ -78,6 +120,34 @@ def test_oracles(spark, sf, duck):
         assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted((tuple(r[c] for c in names) for r in want), key=repr)
 
 
+def test_pipeline_stages_on_edges(spark, sf):
+    """Nulls, empty texts, repeated rows, ties, columns with the operators' own names; and empty tables."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, "en"), (1, long, "en"), (None, long, "en"), (3, long.upper(), None), (4, long + " more", "xx"), (5, None, None), (6, "", "en"), (None, None, None), (None, "b " + long[2:], ""), (7, "few words", "en"), (7, " ".join(f"v{k}" for k in range(70)), "en")]
+    full = [(*r, "s", 1, k, "t", "u", 2.0, 3, [k]) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _key int, _sha string, digest string, row double, id int, sha array<int>")
+    every = {repr(tuple(r)) for r in docs.collect()}
+    now = docs
+    for k, (name, stage) in enumerate(c.STAGES):
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, sf)
+            if k + 1 < len(c.STAGES):
+                assert got.columns == docs.columns, name
+                assert {repr(tuple(r)) for r in got.collect()} <= (every if table is docs else set()), name
+            else:
+                assert got.count() == table.count()
+        now = stage(spark, now, sf).persist()
+        ids = [(r.doc_id, r._key) for r in now.collect()] if k + 1 < len(c.STAGES) else None
+        if name == "quality_rules":
+            assert sorted(x[1] for x in ids) == [0, 1, 2, 3, 4, 8, 10]
+        if name == "exact_dedup":
+            assert sorted(x[1] for x in ids) == [0, 4, 8, 10]
+        if name == "ngram_jaccard_join":
+            assert sorted(x[1] for x in ids) == [0, 10]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as c
     from helpers import LOWER
