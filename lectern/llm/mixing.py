@@ -4,6 +4,11 @@ A naive Bayes classifier is fitted on labelled rows: presence of the words and s
 best. It gives every document a posterior over domains (soft membership). Projected gradient least squares then fits
 nonnegative document rates r so that the expected tokens of each domain, sum of r * n * p, match targets; each step is
 one aggregation to a few sums, and a document's rate is a fold over the steps' gradients, so no row moves.
+
+A document is drawn floor(rate) times, and once more if its hash lies below a threshold. Thresholds go by membership and
+size: one histogram of bounded size tells, from the largest documents down, at which threshold the domains' drawn tokens
+come nearest to those of the rates, and what larger documents leave over or short is made up by smaller ones. So the drawn
+totals meet the targets, not only their expectation.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ LEAST = 6
 EVIDENCE = 30.0
 #: Steps of the descent at most, and the relative distance from the targets at which it ends (or half of it from the step before).
 STEPS, CLOSE = 40, 0.002
+#: Of the draw's histogram: sizes of documents in octaves, steps of a membership, and bins of hashes.
+OCTAVES, SOFT, BINS = 40, 4, 512
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -151,26 +158,56 @@ def fit(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tu
     return pushes, looks
 
 
-def _copies(r: Column, *key: Column) -> Column:
-    """Whole copies of a row whose expectation is its rate, by a hash of the key."""
-    u = F.pmod(F.xxhash64(*key, F.lit(23)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return (F.floor(r) + (u < r - F.floor(r)).cast("long")).cast("int")
+def _hash(id: str) -> Column:
+    """A number from 0 to 1 by id and text."""
+    return share(id, "text", seed=23)
+
+
+def _drawn(members: DataFrame, pushes: list[list[float]], looks: list[float]) -> DataFrame:
+    """members (n, p, u) get `rate` and `copies`."""
+    members = members.withColumn("rate", rate(F.col("p"), pushes, looks)["r"] if pushes else F.lit(1.0))
+    more = F.col("rate") - F.floor("rate")
+    octave = F.least(F.floor(F.log2(F.col("n") + 1)).cast("int"), F.lit(OCTAVES - 1))
+    cell = octave
+    for k in range(len(DOMAINS) - 1):
+        cell = cell * (SOFT + 1) + F.round(F.get("p", F.lit(k)) * SOFT).cast("int")
+    # Below the middle are the hashes that are less than the rate's fraction.
+    bin_ = F.least(F.floor((F.col("u") - more + 1) * (BINS // 2)).cast("int"), F.lit(BINS - 1))
+    of = lambda x: [F.sum(F.col("n") * F.get("p", F.lit(k)) * x) for k in range(len(DOMAINS))]
+    whole = members.agg(F.array(*of(F.col("rate"))).alias("w")).first().w
+    seen = members.where(more > 0).groupBy(cell.alias("c"), bin_.alias("q")).agg(F.array(*of(F.lit(1.0))).alias("w"), F.array(*of(more)).alias("want")).collect()  # cells x BINS rows at most
+    cells: dict[int, list] = {}
+    for r in seen:
+        cells.setdefault(r.c, []).append(r)
+    plus = lambda a, b, sign=1: [x + sign * y for x, y in zip(a, b, strict=True)]
+    far = lambda left: sum((x / max(y or 0.0, 1.0)) ** 2 for x, y in zip(left, whole, strict=True))
+    left, at = [0.0] * len(DOMAINS), {}
+    for c in sorted(cells, reverse=True):
+        for r in cells[c]:
+            left = plus(left, r.want)
+        after, cut = left, 0
+        for r in sorted(cells[c], key=lambda r: r.q):
+            left = plus(left, r.w, -1)
+            if far(left) < far(after):
+                after, cut = left, r.q + 1
+        at[c], left = cut, after
+    below = F.try_element_at(F.expr(f"map({', '.join(f'{c}, {x}' for c, x in at.items())})"), cell) if at else F.lit(0)
+    return members.withColumn("copies", (F.floor("rate") + F.coalesce((more > 0) & (bin_ < below), F.lit(False)).cast("long")).cast("int"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_tokens (words between white space and punctuation), p_clean, p_toxic, p_junk, rate, copies.
 
-    Targets are shares by domain (the first one's must be over 0). A null text counts as empty and has rate by its shape;
+    copies is the rate rounded down or up, so that the tokens drawn of each domain add up to those of the rates; how near
+    both come to the targets is said by shares(). Rows alike in id and text are rounded alike. Targets are shares by domain (the first one's must be over 0). A null text counts as empty and has rate by its shape;
     null and repeated ids pass through, repeated labels count once; without labelled rows the memberships are the prior
     and every rate follows from them; an empty table gives no rows; other columns are ignored.
     """
     prior, weight = train(docs, labels, id, text)
     src = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    members = durable(_posteriors(src, prior, weight).select("id", "n", "p"), "members")
-    pushes, looks = fit(members, targets)
-    z = rate(F.col("p"), pushes, looks)
-    out = members.withColumn("rate", z["r"] if pushes else F.lit(1.0))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_tokens"), *[F.get("p", F.lit(k)).alias(f"p_{x}") for k, x in enumerate(DOMAINS)], "rate", _copies(F.col("rate"), F.col("id")).alias("copies"))
+    members = durable(_posteriors(src.withColumn("u", _hash("id")), prior, weight).select("id", "n", "p", "u"), "members")
+    out = _drawn(members, *fit(members, targets))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_tokens"), *[F.get("p", F.lit(k)).alias(f"p_{x}") for k, x in enumerate(DOMAINS)], "rate", "copies")
 
 
 def shares(rows: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -187,9 +224,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The documents drawn at their rates, with all their columns: a row of c copies appears c times."""
     prior, weight = train(docs, labels, id, text)
     src = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id).alias("id"))
-    # Written once, so that the texts are read and judged once; the steps read two narrow columns of it.
-    members = durable(_posteriors(src, prior, weight).drop("text"), "members")
-    pushes, looks = fit(members.select("n", "p"), targets)
-    r = rate(F.col("p"), pushes, looks)["r"] if pushes else F.lit(1.0)
-    drawn = members.select("row", _copies(r, F.col("id")).alias("copies")).where("copies > 0")
+    # Written once, so that the texts are read and judged once; the steps read narrow columns of it.
+    members = durable(_posteriors(src.withColumn("u", _hash("id")), prior, weight).select("row", "n", "p", "u"), "members")
+    drawn = _drawn(members, *fit(members.select("n", "p"), targets)).select("row", "copies").where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")
