@@ -2,9 +2,10 @@
 
 Template and document words (letters and digits, lowered) are hashed into GRAM-word runs; of each WINDOW of runs the
 least hash is kept (winnowing), so any common stretch of GRAM + WINDOW - 1 words shares a fingerprint. The templates'
-fingerprints form an inverted index, whose size depends on the templates alone and which every task holds. A document
-that hits it gets, per template and stretch of near diagonals, a banded alignment of the template with the words
-around the hits; matched words over template words is the coverage.
+fingerprints form an inverted index, whose size depends on the templates alone and which every task holds. A hit of a
+document lies on a diagonal, its place in the text less that in the template. Diagonals of one template that lie within
+half its length are aligned together, in a band that holds all of them and a margin on both sides, so a copy that drifts
+by no more than the margin is wholly in the band of its least diagonal. Matched words over template words is the coverage.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from lectern.llm import tokens
 from lectern.llm.license_templates import TEMPLATES
 
-#: Words of a run, runs of a window, and words by which an alignment may drift to either side at least (more where a template's coverage leaves out more).
+#: Words of a run, runs of a window, and words by which an alignment may drift beyond its hits at least (more where a template's coverage leaves out more).
 GRAM, WINDOW, BAND = 3, 2, 12
 #: Share of a template's words that must match in order.
 COVERAGE = 0.8
+#: Templates of so many words need hits at two of their places.
+LONG = 20
 
 #: Words are runs of ASCII letters and digits and of characters beyond ASCII.
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -59,35 +62,37 @@ def winnow(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[n
     return runs[at], at
 
 
-def align(template: list[int], words: list[int], band: int) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence of two word lists within a band around the main diagonal."""
-    n, m = len(template), len(words)
-    width = 2 * band + 1
-    best = np.zeros((n + 1, width + 1), np.int32)
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of two word lists within the diagonals low to high (place in words less place in template).
+
+    A row of the table is the running maximum of what a match, or the row above, gives; only the band is kept. Of several
+    longest ones it is one that ends first, and begins late for that end.
+    """
+    n, m, width = len(template), len(words), high - low + 1
+    best = np.zeros((n + 1, width + 1), np.int32)  # best[i, d]: of the first i template words and the first i + low + d words
+    offset = low + np.arange(width)
+    hits = np.zeros((n, width), bool)
     for i in range(1, n + 1):
-        for d in range(width):
-            j = i - band + d
-            if j < 1 or j > m:
-                best[i, d] = best[i, d - 1] if d and j > m else 0
-                continue
-            up = best[i - 1, d + 1] if d + 1 < width else 0
-            left = best[i, d - 1] if d else 0
-            hit = best[i - 1, d] + 1 if template[i - 1] == words[j - 1] else 0
-            best[i, d] = max(up, left, hit)
-    i, j = n, min(m, n + band)
-    out = []
-    while i > 0 and j > 0 and 0 <= j - i + band < width:
-        d = j - i + band
+        at = i - 1 + offset  # the word that diagonal d has for template word i - 1
+        inside = (at >= 0) & (at < m)
+        hit = hits[i - 1]
+        hit[inside] = words[at[inside]] == template[i - 1]
+        # Diagonal d of the row above ends one word earlier; d + 1 of it ends at the same word.
+        row = np.where(hit, best[i - 1, :width] + 1, best[i - 1, 1 : width + 1])
+        best[i, :width] = np.maximum.accumulate(np.maximum(row, best[i - 1, 1 : width + 1]))
+    # From the earliest end back over the latest matches, so that the pairs lie close together.
+    i, d, out = n, int(np.argmax(best[n, :width])), []
+    while i > 0 and d >= 0:
         here = best[i, d]
-        if template[i - 1] == words[j - 1] and here == best[i - 1, d] + 1:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif d and best[i, d - 1] == here:
-            j -= 1
-        elif d + 1 < width and best[i - 1, d + 1] == here:
+        if here == 0:
+            break
+        if hits[i - 1, d] and here == best[i - 1, d] + 1:
+            out.append((i - 1, i - 1 + low + d))
             i -= 1
+        elif d and best[i, d - 1] == here:
+            d -= 1
         else:
-            j -= 1
+            i, d = i - 1, d + 1
     return out[::-1]
 
 
@@ -119,25 +124,31 @@ def _matches(index: Index, text: str, h: np.ndarray, coverage: float) -> list[tu
     if not hit.any():
         return []
     spans = _words(text)[1]
-    begin: dict[int, list[int]] = {}
+    begin: dict[int, list[tuple[int, int]]] = {}
     for x, place in zip(runs[hit].tolist(), at[hit].tolist(), strict=True):
         for t, where in index.places[x]:
-            begin.setdefault(t, []).append(place - where)
+            begin.setdefault(t, []).append((place - where, where))
     found = []
-    for t, diagonals in begin.items():
-        template, last = index.hashes[t].tolist(), None
-        band = max(BAND, int((1 - coverage) * len(template)) + 1)  # a gap of all words that the coverage leaves out
-        for d in sorted(set(diagonals)):
-            if last is not None and d - last <= band:
-                continue  # within the band of the alignment before
-            last = d
-            lo, blank = max(0, d), [-1] * max(0, -d)  # before the text, so that the template stays whole
-            part = blank + h[lo : max(lo, d + len(template) + band)].tolist()
-            pairs = [(i, j - len(blank)) for i, j in align(template, part, band)]
-            share = len(pairs) / max(1, len(template))
-            if share >= coverage:
-                a, b = lo + pairs[0][1], lo + pairs[-1][1]
-                found.append((index.names[t], spans[a][0], spans[b][1], share, len(pairs)))
+    for t, hits in begin.items():
+        template = index.hashes[t]
+        n = len(template)
+        band, reach = max(BAND, int((1 - coverage) * n) + 1), max(BAND, n // 2)  # a margin of all words that the coverage leaves out
+        hits.sort()
+        i = 0
+        while i < len(hits):
+            low, places = hits[i][0], set()
+            while i < len(hits) and hits[i][0] <= low + reach:
+                high = hits[i][0]
+                places.add(hits[i][1])
+                i += 1
+            if n >= LONG and len(places) < 2:
+                continue
+            begins = max(0, low - band)
+            part = h[begins : max(0, high + band + n)]
+            pairs = align(template, part, low - band - begins, high + band - begins)
+            if pairs and len(pairs) >= coverage * n:
+                a, b = begins + pairs[0][1], begins + pairs[-1][1]
+                found.append((index.names[t], spans[a][0], spans[b][1], len(pairs) / n, len(pairs)))
     found.sort(key=lambda x: (-x[4], -x[3], x[1], x[0]))
     kept: list[tuple] = []
     for x in found:
