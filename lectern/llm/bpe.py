@@ -4,8 +4,9 @@ A text of up to CHUNK characters is encoded as it is. A longer one is cut into c
 characters; the chunks are dealt out and pre-tokenised in parallel, each from its own start. The pattern looks only
 ahead, so from a position where two neighbours both have a boundary their pre-tokens agree to the end; the first such
 position after a non-space becomes the cut between them (after a space the pattern's look-ahead could see another end).
-Chunks without such a position, for example one long run of letters, stay joined to the one before. The pieces between
-cuts are dealt out again and encoded, and their ids concatenated in order.
+A chunk is in step from its cut on, if the chunk before was in step there; the first chunk is. Where a chunk has no such
+position, for example in one long run of letters, it and what follows stay joined to the one before, as nothing tells
+whether they are in step. The pieces between cuts are dealt out again and encoded, and their ids concatenated in order.
 """
 
 from __future__ import annotations
@@ -139,8 +140,10 @@ def _long_pieces(rows: DataFrame, pattern: str, chunk: int) -> DataFrame:
     long = rows.select(F.col("key").alias("id"), "text").where(F.length("text") > chunk)
     chunks = spread(long.mapInArrow(_split(chunk, OVERLAP), "id string, chunk int, text string"), "id", "chunk")
     outer = chunks.mapInArrow(_outer(chunk, pattern), "id string, chunk int, head array<long>, tail array<long>")
-    before = F.lag("tail").over(Window.partitionBy("id").orderBy("chunk"))
-    cuts = outer.withColumn("cut", F.array_min(F.array_intersect("head", before))).where("cut is not null").groupBy("id").agg(F.collect_list("cut").alias("cuts"))
+    line = Window.partitionBy("id").orderBy("chunk")
+    found = outer.withColumn("cut", F.array_min(F.array_intersect("head", F.lag("tail").over(line))))
+    in_step = F.every((F.col("chunk") == 0) | F.col("cut").isNotNull()).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    cuts = found.withColumn("in_step", in_step).where("in_step and cut is not null").groupBy("id").agg(F.collect_list("cut").alias("cuts"))
     cut = long.join(cuts, "id", "left").mapInArrow(_pieces, "id string, piece int, text string")
     return spread(cut, "id", "piece").select(F.col("id").alias("key"), "piece", "text")
 
