@@ -3,7 +3,8 @@
 Sampled splitters deal the rows out in ranges of (first bytes of the normalised text, its SHA-256, id), so equal texts
 are neighbours and a large group of copies is cut by id over several ranges. Each range is sorted externally, and a
 streaming pass compares neighbouring whole texts and marks runs. Runs that go on across a border of ranges are joined by
-a table with the two outer runs of each range, whose size is bounded by the number of ranges.
+a table with the two outer runs of each range, whose size is bounded by the number of ranges; there, and only there, texts
+count as equal by their SHA-256.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable, lower_ascii, partitions
+from lectern.llm.common import durable, lower_ascii, one_of_each, partitions
 
 #: Characters of the text that a splitter holds; beyond them the digest decides.
 LEAD = 64
@@ -73,12 +74,12 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: s
 
     Texts are equal when identical after lower-casing A-Z only; null counts as the empty text. Of a group the row with
     the smallest or the largest id stays (keep). A row that repeats an id and a text counts as another copy, and exactly
-    one of the rows stays; null ids come before all others, so with keep="largest" such a row stays only in a group
-    without ids (and with "smallest" before all others). An empty table gives no rows; other columns are ignored.
+    one of the rows stays; a row without an id stays only in a group without ids. An empty table gives no rows; other
+    columns are ignored.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep}")
-    order = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_last()
+    order = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
     norm = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     norm = norm.withColumns({"sha": F.sha2("text", 256), "lead": F.substring("text", 1, LEAD)})
     dealt = norm.repartitionByRange(partitions(docs.sparkSession), "lead", "sha", order).sortWithinPartitions("lead", "sha", "text", order)
@@ -98,3 +99,15 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: s
         (F.col("stays") & F.coalesce("ends", F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def exact_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps: one of each group of equal texts.
+
+    Of rows alike in id and text it is the least one by its other columns. Decisions come back by id and digest, so a
+    large group of copies is spread by its ids.
+    """
+    best = exact_dedup(docs, id, text, keep).where("kept").select(F.col(id).alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).cast("long").alias("id"), F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256).alias("sha"))
+    chosen = rows.alias("r").join(best.alias("b"), F.col("r.id").eqNullSafe(F.col("b.id")) & (F.col("r.sha") == F.col("b.sha")), "left_semi")
+    return one_of_each(chosen, "id", "sha").select("row.*")

@@ -76,6 +76,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     """Lines of a page as (text, characters in links, number of the outermost article or main part or 0); a gap is an empty line."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it drops what it holds, whether it is a part's edge
+    # Places in the stack of each tag, of block elements, and of elements that drop or are an edge: an end tag looks up its start.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    marks: list[int] = []
     piece: list[str] = []
     drop = part = parts = link = linked = 0
 
@@ -99,7 +103,11 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         nonlocal drop, part, link
         while len(stack) > to:
             tag, dropped, edge = stack.pop()
+            places[tag].pop()
+            if dropped or edge:
+                marks.pop()
             if tag in _BLOCK:
+                blocks.pop()
                 flush()
             drop -= dropped
             if dropped and not drop or edge:
@@ -120,9 +128,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and not (tag not in _BLOCK and any(x[1] or x[2] for x in stack[depth + 1 :])):
-                pop(depth)
+            open_ = places.get(tag)
+            if open_ and (tag in _BLOCK or not marks or marks[-1] <= open_[-1]):
+                pop(open_[-1])
             elif tag in _BLOCK:
                 flush()
             continue
@@ -136,12 +144,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if tag in _CLOSES_P or tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
             ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}.get(tag, ("p",))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop(k)
-                    break
-                if stack[k][0] in _BLOCK or stack[k][1] or stack[k][2]:
-                    break
+            if blocks and (not marks or marks[-1] <= blocks[-1]) and stack[blocks[-1]][0] in ends:
+                pop(blocks[-1])
         if m[3].rstrip().endswith("/") and tag not in _BLOCK:
             continue
         dropped = bool(drop) or _beside(tag, m[3], part > 0)
@@ -149,6 +153,11 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if dropped and not drop or edge:
             flush()
             out.extend([("", 0, parts if part else 0)] * (WINDOW if tag in _APART else 1))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            blocks.append(len(stack))
+        if dropped or edge:
+            marks.append(len(stack))
         stack.append((tag, dropped, edge))
         drop += dropped
         parts += edge and not part

@@ -72,6 +72,17 @@ _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDE
 
 ORACLES = {
     "op10_url_filter": url_filter.ORACLE,
+    "op9_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y, c = i.n AND c = j.n AS same FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
+        r AS (SELECT doc_id AS x, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.x WHERE r.m < e.y),
+        m AS (SELECT x, min(m) AS m FROM r GROUP BY 1),
+        k AS (SELECT x, count(*) AS n_links, count(*) FILTER (same) AS n_same FROM e GROUP BY 1)
+        SELECT n.doc_id, n.n AS n_shingles, m.m AS component_id, coalesce(n_links, 0) AS n_links, coalesce(n_same, 0) AS n_same FROM n JOIN m ON m.x = n.doc_id LEFT JOIN k ON k.x = n.doc_id
+    """,
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
-#: Host of a URL: after the scheme and user, before the port and path.
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+#: Host of a URL: after the scheme and user, before the port and path; an address in brackets is one.
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -80,19 +80,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(captures, demonstration_list(pages))
 
 
-ORACLE = r"""
+#: The list's entries and what becomes of them, said once more in SQL.
+_ENTRIES = ", ".join(f"({k}, '{x}', '{action}', TIMESTAMP '{at}')" for k, some in DEMONSTRATION.items() for x, action, at in some)
+
+ORACLE = rf"""
 WITH p AS (
-  SELECT page_id, url, lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
+  SELECT page_id, url, lower(nullif(regexp_extract(url, '{HOST}', 1), '')) AS host,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(((page_id * 7) % 8784)::INT) AS fetched
   FROM pages),
 hosts AS (SELECT DISTINCT host AS key, (length(host) * 7 + ascii(host)) % 8 AS k FROM p WHERE host IS NOT NULL),
 domains AS (SELECT DISTINCT regexp_extract(key, '([^.]+\.[^.]+)$', 1) AS key FROM hosts),
 names AS (SELECT key, k FROM hosts UNION ALL SELECT key, 100 + length(key) % 3 FROM domains WHERE key <> ''),
-valid(k, list, since, until) AS (VALUES
-  (0, 'block', TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-06-15 12:00:00'), (0, 'block', TIMESTAMP '2024-10-01 00:00:00', NULL),
-  (1, 'allow', TIMESTAMP '2024-01-01 00:00:00', NULL),
-  (2, 'block', TIMESTAMP '2024-05-01 00:00:00', NULL), (2, 'allow', TIMESTAMP '2024-07-01 00:00:00', TIMESTAMP '2024-09-01 00:00:00'),
-  (100, 'block', TIMESTAMP '2024-04-01 00:00:00', TIMESTAMP '2024-08-01 00:00:00'), (101, 'block', TIMESTAMP '2024-11-15 00:00:00', NULL)),
+entries(k, list, action, dated) AS (VALUES {_ENTRIES}),
+turns AS (SELECT *, coalesce(lag(action) OVER (PARTITION BY k, list ORDER BY dated, action DESC), 'remove') AS was FROM entries),
+spans AS (SELECT k, list, action, dated AS since, lead(dated) OVER (PARTITION BY k, list ORDER BY dated, action DESC) AS until FROM turns WHERE action <> was),
+valid AS (SELECT k, list, since, until FROM spans WHERE action = 'add' AND (until IS NULL OR until > since)),
 list AS (SELECT DISTINCT n.key, v.list, v.since, v.until FROM names n JOIN valid v ON n.k = v.k),
 hit AS (
   SELECT p.page_id, l.*, row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(l.key) DESC, l.list = 'allow' DESC, l.since DESC) AS r, p.url AS u

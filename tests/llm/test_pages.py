@@ -103,10 +103,11 @@ def test_intervals(spark):
 
 def test_url_filter(spark):
     e = spark.createDataFrame([("example.org", "block", "add", "2024-01-01"), ("good.example.org", "allow", "add", "2024-02-01")], "key string, list string, action string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    rows = [(1, "http://A.example.org/x", "2024-01-05"), (2, "https://good.example.org:8080", "2024-01-05"), (3, "https://u@good.example.org/", "2024-03-05"), (4, "https://example.org.evil.net/", "2024-03-05"), (5, None, "2024-03-05"), (6, "no url", "2024-03-05"), (7, "http://example.org", None), (1, "http://A.example.org/x", "2024-01-05")]
+    rows = [(1, "http://A.example.org/x", "2024-01-05"), (2, "https://good.example.org:8080", "2024-01-05"), (3, "https://u@good.example.org/", "2024-03-05"), (4, "https://example.org.evil.net/", "2024-03-05"), (5, None, "2024-03-05"), (6, "no url", "2024-03-05"), (7, "http://example.org", None), (1, "http://A.example.org/x", "2024-01-05"), (8, "http://[::1]:80/x", "2024-01-05")]
     c = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, fetched string, key string").withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
-    got = sorted((r.page_id, r.verdict) for r in url_filter.url_filter(c, e).collect())
-    assert got == [(1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "none"), (5, "none"), (6, "none"), (7, "none")]
+    rows = url_filter.url_filter(c, e).collect()
+    assert sorted((r.page_id, r.verdict) for r in rows) == [(1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "none"), (5, "none"), (6, "none"), (7, "none"), (8, "none")]
+    assert [r.host for r in rows if r.page_id == 8] == ["[::1]"]
     assert url_filter.url_filter(c, e.limit(0)).where("verdict <> 'none'").count() == 0
     assert url_filter.url_filter(c.limit(0), e).count() == 0
 
