@@ -1,45 +1,37 @@
 """The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-documents. Rows without a doc_id leave at the n-gram stage, whose decisions are joined back by it.
+documents, whatever these are. Null and repeated ids, null texts, repeated rows and empty tables go through each stage;
+what becomes of them is said at the operators.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm.bpe import bpe_digests
-from lectern.llm.common import lower_ascii, shared_dir, table
-from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.common import table
+from lectern.llm.exact_dedup import exact_unique
 from lectern.llm.mixing import mixed
-from lectern.llm.ngram_join import jaccard_components
-from lectern.llm.quality import quality
+from lectern.llm.ngram_join import near_unique
+from lectern.llm.quality import good_rows
+from lectern.session import new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    # The verdict follows from language and text, so a digest of both brings it back, whatever the ids are.
-    rows = docs.withColumn("_key", F.sha2(F.concat(F.coalesce("lang", F.lit("\x01")), F.lit("\x00"), F.coalesce("text", F.lit(""))), 256))
-    kept = quality(rows, table(spark, sf_dir, "labels"), carry=("_key",)).where("kept").select("_key").distinct()
-    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
+    return good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
-    kept = exact_dedup(docs, keep="smallest").where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    rows = docs.withColumn("_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    # A row that repeats an id and a text stays once; the join has dealt such rows to one task already.
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_sha"] == kept["sha"]), "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """Of equal texts, the row with the smallest doc_id; one without any only if all are."""
+    return exact_unique(docs, keep="smallest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more connect, the one with the smallest doc_id."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents that links of 0.8 or more connect, the one with the smallest doc_id; one without any only if all are."""
+    return near_unique(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            path = new_folder(spark, "pipeline")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
