@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import drop_durable, durable
 
 
-def apart(aggregated: DataFrame, *key: str) -> DataFrame:
-    """Deals an aggregated side of a join out once more by its key.
+def apart(aggregated: DataFrame, key: str) -> DataFrame:
+    """Hides from the planner that a side of a join was aggregated by the join's key, a whole number.
 
-    Without this the aggregation and the join are one stage, whose hot keys adaptive execution can't split. With it both
-    sides are shuffles of their own: it splits a skewed partition of the other side, or broadcasts this one if it is small.
+    Else the aggregation and the join are one stage, whose hot keys adaptive execution can't split. So this side gets a
+    shuffle of its own: adaptive execution splits a skewed partition of the other side, or broadcasts this one if it is small.
     """
-    return aggregated.repartition(*key)
+    return aggregated.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -51,9 +51,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _mark(e: DataFrame) -> tuple:
     """Edges, children, two sums by which a table is told from another, and how many children are parents too."""
-    a = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("x"), F.coalesce(F.sum(F.hash("v", "u") % 1_000_003), F.lit(0)).alias("y")).first()
-    if not a.n:
-        return 0, 0, 0, 0, 0
-    b = e.groupBy("u").agg(F.count("*").alias("n")).agg(F.count("*").alias("u")).first()
-    c = e.select("u").distinct().join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").count() if b.u == a.n else -1
-    return a.n, b.u, a.x, a.y, c
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"), (F.xxhash64("u", "v") % 1_000_003).alias("h"), (F.hash("v", "u") % 1_000_003).alias("k"))
+    ends = ends.union(e.select("v", F.lit(0), F.lit(1), F.lit(0).cast("long"), F.lit(0)))
+    nodes = ends.groupBy("x").agg(F.sum("child").alias("n"), F.max("parent").alias("parent"), F.sum("h").alias("h"), F.sum("k").alias("k"))
+    some = lambda test: F.coalesce(F.sum(test.cast("int")), F.lit(0))
+    a = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), some(F.col("n") > 0).alias("u"), F.sum("h").alias("h"), F.sum("k").alias("k"), some((F.col("n") > 0) & (F.col("parent") > 0)).alias("both")).first()
+    return a.n, a.u, a.h, a.k, a.both

@@ -16,9 +16,11 @@
    links, never the pairs.
 5. Connected components of the forests are the result.
 
-Nothing is capped or sampled; the cost of step 4 grows with the square of a band of a gathering of different, similar
-texts, which counting their links needs. A side that is aggregated by the key of a join is dealt out once more
-(`apart`), so that adaptive execution can split a hot key or broadcast a side that turns out small.
+Nothing is capped, and no result depends on a sample; the cost of step 4 grows with the square of a band of a gathering
+of different, similar texts, which counting their links needs. Shingles of very many classes are found in a sample
+beforehand, and their entries are dealt out by class, so no task gets all of one. A side that is aggregated by the key of
+a join is kept apart, so that adaptive execution can split a hot key. Sets are made where the texts are, for those texts
+that a bitmap of fixed size may want, so texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -35,9 +37,12 @@ from lectern.llm.common import drop_durable, durable, one_of_each, partitions
 from lectern.llm.graph import apart, connected_components
 
 #: Classes, and shingles, of a block of the product.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Columns with fewer rows are accumulated as index pairs; the others in dense tiles of so many columns.
 DENSE, TILE = 24, 2048
+#: Shingles that count as heavy at most, of one in so many classes; and bits of the filter of digests.
+HEAVY, SAMPLE = 100_000, 64
+FILTER = 1 << 26
 
 
 def _needed(n, percent: int):
@@ -72,17 +77,29 @@ def _signatures(size: int, percent: int):
     return run
 
 
-def _sets(size: int):
-    """Sets of the classes' texts; of a class whose row repeats, once a task."""
+def _filter(own: DataFrame):
+    """A bitmap of FILTER bits in which those of the digests are set, whatever their number."""
+    x = F.pmod("digest", F.lit(FILTER)) + 1
+    rows = own.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()  # FILTER / 32768 rows at most
+    out = np.zeros((FILTER // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.k - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return own.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def _sets(size: int, wanted):
+    """Sets of the texts whose digests may be wanted; of rows alike in id and text, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bits, seen = wanted.value, set()
         for whole in batches:
-            fresh = [k not in seen and not seen.add(k) for k in whole.column("cid").to_pylist()]
-            for batch in tokens.slices(whole.filter(pa.array(fresh, pa.bool_())), "text"):
+            at = np.mod(whole.column("digest").to_numpy(), FILTER)
+            some = whole.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            fresh = [k not in seen and not seen.add(k) for k in zip(some.column("id").to_pylist(), some.column("digest").to_pylist(), strict=True)]
+            for batch in tokens.slices(some.filter(pa.array(fresh, pa.bool_())), "text"):
                 words, first = tokens.words(batch.column("text"))
                 sets = [np.unique(tokens.shingles(words[first[i] : first[i + 1]], size)).tobytes() for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], names=["cid", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sets, pa.binary())], names=["id", "digest", "items"])
 
     return run
 
@@ -99,7 +116,7 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, n), np.float32)
     for d in np.unique(height[(height > 1) & (height < DENSE)]):
         at = starts[height == d]
-        step = max(1, 2_000_000 // (d * d))
+        step = max(1, 500_000 // (d * d))
         for k in range(0, len(at), step):
             who = of[at[k : k + step, None] + np.arange(d)]
             out += np.bincount((who[:, :, None] * n + who[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
@@ -114,12 +131,25 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _links(shared: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which two sets of sizes n are linked; some rows at a time, as whole numbers."""
+    out = np.empty(shared.shape, bool)
+    for k in range(0, len(n), 128):
+        a = n[k : k + 128, None]
+        both = shared[k : k + 128].astype(np.int64)
+        out[k : k + 128] = (100 * np.minimum(a, n) >= percent * np.maximum(a, n)) & (100 * both >= percent * (a + n - both))
+    np.fill_diagonal(out, False)
+    return out
+
+
 def _forest(linked: np.ndarray) -> np.ndarray:
     """Of each row, the least row that it reaches."""
     n = len(linked)
     label = np.arange(n)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        low = label.copy()
+        for k in range(0, n, 128):
+            low[k : k + 128] = np.minimum(low[k : k + 128], np.where(linked[k : k + 128], label[None, :], n).min(axis=1, initial=n))
         low = low[low]
         if (low == label).all():
             return label
@@ -133,14 +163,11 @@ def _product(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
         ids, copies, side = np.array(rows["cid"], np.int64), np.array(rows["copies"], np.int64), np.array(rows["block"])
         n = np.array([len(s) for s in sets], np.int64)
-        shared = overlaps(sets)
-        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        linked = (100 * small >= percent * large) & (100 * shared >= percent * (n[:, None] + n[None, :] - shared))
-        linked &= ids[:, None] != ids[None, :]
+        linked = _links(overlaps(sets), n, percent)
         if left != right:
             linked &= side[:, None] != side[None, :]
         label = _forest(linked)
-        links = (linked * copies[None, :]).sum(axis=1)
+        links = linked @ copies
         for i in np.flatnonzero(links):
             yield int(ids[i]), int(ids[label[i]]), int(links[i])
 
@@ -188,35 +215,49 @@ def _components(src: DataFrame, size: int, percent: int) -> DataFrame:
     some, key = all_.where("n > 0"), ["n", "s1", "s2"]
     classes = durable(some.groupBy(*key).agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
 
-    first = some.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
-    posts = first.select(F.col("row").alias("cid"), F.expr(_slack_sql(f"ceil(n * {percent} / 100)")).cast("int").alias("slack"), F.explode("prefix").alias("h"))
-    by = Window.partitionBy("cid")
-    often = lambda: apart(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h")
-    met = posts.join(often().select("h"), "h", "left_semi").withColumn("of", F.count("*").over(by)).where("of >= slack")
-    posts = durable(met.select("cid", "slack", "h"), "met")
+    # One row a class: without the other rows of those that have several, which are fewer than the classes.
+    copies = some.select("row", *key).join(classes.where("copies > 1").select(*key, "cid"), key).where("row <> cid").select("row")
+    first = some.join(durable(copies, "copies"), "row", "left_anti")
+    posts = first.select(F.col("row").alias("cid"), F.expr(_slack_sql(_needed_sql(percent))).cast("int").alias("slack"), F.explode("prefix").alias("h"))
+    posts = posts.join(F.broadcast(_heavy(some, classes, key, percent)), "h", "left")
+    # Windows by shingle; a heavy one is dealt out by class too, as nothing has to be counted of it.
+    by, alike = Window.partitionBy("cid"), Window.partitionBy("h", F.when(F.col("heavy"), F.pmod("cid", F.lit(1 << 16))))
+    often = lambda rows: rows.withColumn("c", F.when(F.col("heavy"), F.lit(1 << 62)).otherwise(F.count("*").over(alike))).where("c > 1")
+    posts = durable(often(posts).withColumn("of", F.count("*").over(by)).where("of >= slack").select("cid", "slack", "h", "heavy"), "met")
     # Of a class's met shingles a linked one shares `slack`, so all but the last slack - 1 in any one order must hold one
     # of these; the order is rare ones first, so lines that very many texts share gather nothing.
-    again = posts.join(often(), "h").withColumn("of", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("c", "h")))
-    before, posts = posts, durable(again.where("of >= slack and place <= of - slack + 1").select("cid", "h"), "rare")
+    again = often(posts).withColumn("of", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("c", "h")))
+    before, posts = posts, durable(again.where("of >= slack and place <= of - slack + 1").select("cid", "h", "heavy"), "rare")
     drop_durable(before)
 
-    star = posts.join(apart(posts.groupBy("h").agg(F.min("cid").alias("b")), "h"), "h").select(F.col("cid").alias("a"), "b").where("a != b").distinct()
+    stars = posts.where("heavy").groupBy("h").agg(F.min("cid").alias("hub"))  # HEAVY rows at most
+    star = posts.join(F.broadcast(stars), "h", "left").select(F.col("cid").alias("a"), F.coalesce("hub", F.min("cid").over(alike)).alias("b")).where("a != b").distinct()
     where = connected_components(star).withColumnRenamed("node", "cid").withColumnRenamed("component", "gathering")
     where = where.join(classes.select("cid", "n", "copies"), "cid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(_ratio(percent)))).cast("int"))
-    sizes = where.groupBy("gathering", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    bands = sizes.groupBy("gathering").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # some tens of bands at most
-    where = where.join(apart(bands, "gathering"), "gathering").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("bands")[F.col("band")]).cast("int"))
-    where = durable(where.withColumn("block", _place(F.col("band"), F.col("block"))), "gatherings")
-
-    # The texts of the classes' own rows, by id and digest.
-    own = some.select(F.col("row").alias("cid"), "id", "digest").join(where.select("cid"), "cid", "left_semi")
-    texts = src.alias("t").join(own.alias("o"), F.col("t.id").eqNullSafe(F.col("o.id")) & (F.col("t.digest") == F.col("o.digest"))).select("cid", "text")
-    sets = texts.mapInArrow(_sets(size), "cid long, items binary")
-    partners = lambda d: F.when(F.coalesce(F.col("bands")[F.col("band") + d], F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("bands")[F.col("band") + d] - 1), lambda j: _place(F.col("band") + d, j))).otherwise(F.array().cast("array<long>"))
-    sides = F.transform(F.concat(partners(-1), partners(0), partners(1)), lambda p: F.struct(F.least("block", p).alias("left"), F.greatest("block", p).alias("right")))
-    tasks = where.select("gathering", "cid", "copies", "block", sides.alias("sides")).join(sets, "cid").withColumn("p", F.explode("sides"))
-    tasks = tasks.select("gathering", "p.left", "p.right", "cid", "copies", "block", "items")
-    dealt = tasks.repartition(partitions(src.sparkSession), "gathering", "left", "right").sortWithinPartitions("gathering", "left", "right", "cid")
+    blocks = lambda rows, n: F.greatest(F.ceil(F.sum(rows) / BLOCK_ROWS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+    sizes = where.groupBy("gathering", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), blocks(F.lit(1), "n").alias("blocks"))
+    bands = sizes.groupBy("gathering").agg(F.collect_list(F.struct("band", "blocks")).alias("bands"), blocks("rows", "n").alias("blocks"))  # some tens of bands at most
+    # A set goes to its own band and both neighbours; where that is no fewer blocks than there are, all are one band.
+    whole = F.array(F.struct(F.lit(0).alias("band"), F.col("blocks")))
+    where = where.join(apart(bands, "gathering"), "gathering").withColumn("band", F.when(F.col("blocks") > 3, F.col("band")).otherwise(0))
+    where = where.withColumn("bands", F.when(F.col("blocks") > 3, F.col("bands")).otherwise(whole))
+    total = lambda which: F.aggregate(F.filter("bands", which), F.lit(0), lambda a, x: a + x["blocks"])
+    own_, below = (lambda d: total(lambda x: x["band"] == F.col("band") + d)), (lambda d: total(lambda x: x["band"] < F.col("band") + d))
+    # Blocks are numbered through a gathering, a band after the other.
+    partners = F.array_sort(F.flatten(F.array(*[F.when(own_(d) > 0, F.sequence(below(d), below(d) + own_(d) - 1)).otherwise(F.array().cast("array<int>")) for d in (-1, 0, 1)])))
+    where = where.withColumn("block", (below(0) + F.pmod(F.xxhash64("cid"), own_(0))).cast("int")).withColumn("partners", partners).withColumn("blocks", total(lambda x: F.lit(True)))
+    # The classes' own rows, found again by id and digest.
+    own = some.select(F.col("row").alias("cid"), "id", "digest").join(where.select("cid", "gathering", "copies", "block", "blocks", "partners"), "cid")
+    own = durable(own, "gatherings")
+    sets = src.mapInArrow(_sets(size, _filter(own)), "id long, digest long, items binary")
+    # As many of either as there are similar texts, so both are dealt out at any size.
+    sides = F.transform("partners", lambda p: F.struct(F.least("block", p).alias("left"), F.greatest("block", p).alias("right")))
+    tasks = sets.alias("t").join(own.hint("merge").alias("o"), F.col("t.id").eqNullSafe(F.col("o.id")) & (F.col("t.digest") == F.col("o.digest"))).select("gathering", "cid", "copies", "block", "blocks", "items", F.explode(sides).alias("p"))
+    parts = partitions(src.sparkSession)
+    # A gathering's pairs go to one partition after the other, so none gets many of a large one by chance.
+    slot = F.pmod(F.pmod(F.xxhash64("gathering"), F.lit(parts)) + F.col("left") * F.col("blocks").cast("long") + F.col("right"), F.lit(parts)).cast("int")
+    tasks = tasks.select("gathering", "p.left", "p.right", "cid", "copies", "block", "blocks", "items").repartitionById(parts, slot).drop("blocks")
+    dealt = tasks.sortWithinPartitions("gathering", "left", "right", "cid")
     found = durable(dealt.mapInArrow(_product(percent), "a long, b long, links long"), "links")
 
     # Rows that repeat an id are one node.
@@ -268,9 +309,21 @@ def _ratio(percent: int) -> float:
     return 100 / percent * (1 + 1e-6)
 
 
-def _place(band, block):
-    """A block's number within its gathering."""
-    return band.cast("long") * (1 << 32) + block
+def _heavy(some: DataFrame, classes: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """(h, heavy): shingles of very many classes, HEAVY at most; each is in several classes. Others may be missing.
+
+    Of the shingles of a sample of classes, those with a share of 1 / HEAVY of its entries, and at least 4. Only how rows
+    are dealt out, and the order among frequent shingles, depends on it.
+    """
+    sampled = F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0
+    needed = _needed_sql(percent)
+    entries = classes.where(sampled).agg(F.sum(F.expr(f"n - {needed} + {_slack_sql('n')}"))).first()[0] or 0
+    each = some.where(sampled).select(*key, F.explode("prefix").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("c"))
+    return durable(each.where(F.col("c") >= max(4.0, entries / HEAVY)).select("h", F.lit(True).alias("heavy")), "heavy")
+
+
+def _needed_sql(percent: int) -> str:
+    return f"ceil(n * {percent} / 100)"
 
 
 def _slack_sql(n: str) -> str:

@@ -113,7 +113,7 @@ def shingles(words_: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text each; a row stays whole."""
     text = batch.column(column)
     _, offsets = raw(text)
