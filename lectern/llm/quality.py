@@ -1,31 +1,37 @@
 """Quality rules: plain word statistics, and perplexity under a modified Kneser-Ney trigram model with bands by language.
 
-The model is a classifier fitted on labelled rows: for each language (and for all together, as `*`) Spark counts the
-trigrams of a bounded sample of good rows, then continuation counts and counts of counts, and the discounted
-probabilities and back-off weights go into arrays sorted by 64-bit n-gram hash, which scoring searches. The bands come
-from another bounded sample of labelled rows. The statistics and the scores cover every document and whole texts.
-
-Counts are whole numbers and a context's discounts are summed by how many n-grams have each, so the model, and with it
-every perplexity, is the same to the last bit however the rows are dealt out.
+The model is fitted on labelled rows, all of them: the good rows of a language (and of all together, as `*`) are halved
+by a hash of the id, each half has a model of its own, and a document is scored by the half that it isn't in. So every
+good row is counted, every labelled row sets the bands, and none is judged by itself. N-grams are counted where a hash of
+their context puts them; documents ask there in packets and get counts back, so no model is collected or broadcast.
+
+A packet is all that a slice of documents asks of one place, as arrays of 64-bit hashes. Counts are whole numbers and a
+text's logs are added in the order of its words, so every perplexity is the same to the last bit however the rows are
+dealt out. Models are built and asked a few at a time, which bounds the space that their packets need.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lectern.llm import tokens
-from lectern.llm.common import durable
+from lectern.llm.common import drop_durable, durable, partitions, release
 
-#: Good labelled rows of a language that the model counts, and labelled rows that its bands are set by, at most.
-TRAIN_ROWS, BAND_ROWS = 400, 1500
+#: Bytes of text in a slice of documents that asks together.
+SLICE = 4 << 20
+#: Bytes of text whose models are built and asked at once, if no model has more: it bounds the space, not the result.
+WAVE = 1 << 27
 #: Good labelled rows that a language's bands need: of fewer, nothing follows about the next one.
 LEAST_GOOD = 5
 #: Word types that the probability of unknown words is spread over.
@@ -137,7 +143,7 @@ class Arrays:
 
 
 class Model:
-    """Trigram arrays of all languages: bounded by TRAIN_ROWS, the languages of labelled rows and the length of the chosen rows."""
+    """Trigram arrays of few texts in memory; what `asked` answers for any number of texts is tested against it."""
 
     def __init__(self, rows: DataFrame):
         grams = rows.mapInArrow(_train_grams, "model string, h3 long, c2 long, s2 long, v long, w long")
@@ -195,36 +201,253 @@ def duplicate_lines(text: str) -> int:
 _STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10 double"
 
 
-def _measure(model, carry: list[str]):
-    """Statistics and log10 probability of `text`, in the language `lang`, beside the columns to carry."""
+def _statistics(batch: pa.RecordBatch) -> list[pa.Array]:
+    text = batch.column("text")
+    data, offsets = tokens.raw(text)
+    starts, ends = tokens.spans(data, offsets)
+    words = tokens.hash_words(data, starts, ends, lower=False)
+    first = np.searchsorted(starts, offsets)
+    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    sizes = np.concatenate([[0], np.cumsum(leads[ends] - leads[starts])])
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    columns = [
+        np.diff(first),
+        sizes[first[1:]] - sizes[first[:-1]],
+        symbols[offsets[1:]] - symbols[offsets[:-1]],
+        [duplicate_lines(t) for t in text.to_pylist()],
+        repeated_words(words, first),
+    ]
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
+_NAMES = [c.split()[0] for c in _STATISTICS.split(", ")]
+_PACKET = "kind int, level int, model int, slice long, place int, a binary, b binary, n binary, v binary"
+_TRAIN, _ASK, _REPLY, _COUNTS, _DATA = range(5)
+
+
+def _row(kind: int, level: int, model: int, slice_: int, place: int, *arrays: np.ndarray) -> tuple:
+    return (kind, level, model, slice_, place, *(x.tobytes() for x in arrays), *[None] * (4 - len(arrays)))
+
+
+_ARROW = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("model", pa.int32()), ("slice", pa.int64()), ("place", pa.int32()), *[(c, pa.binary()) for c in "abnv"]])
+
+
+def _packets(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _places(home: np.ndarray, places: int) -> np.ndarray:
+    """The place of each hash; sorted hashes have sorted places."""
+    return (((home >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tokens.mix(context * _B + word * _C)
+
+
+def _asks(level: int, batch: pa.RecordBatch, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' n-grams of a level, each once and sorted by context: context, last word, word before it, count, and by word of the texts its n-gram; and the rows' first words."""
+    words, first = tokens.words(batch.column("text"), lower=False)
+    one, two, _, at = _grams(words, first, np.full(batch.num_rows, seed))
+    word, before = one[at], one[at - 1]
+    context = two[at - 1] if level == 3 else before if level == 2 else word
+    _, index, inverse, count = np.unique(_pair(context, word), return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(context[index], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    index = index[order]
+    return context[index], word[index], before[index], count[order], rank[inverse], first
+
+
+def _by_place(home: np.ndarray, places: int) -> list[tuple[int, int, int]]:
+    """(place, from, to) of hashes sorted by place."""
+    place = _places(home, places)
+    cuts = np.flatnonzero(np.diff(place, prepend=-1))
+    return [(int(place[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(place)), strict=False)]
+
+
+def _unpack(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices: rows of a language and half, with their statistics, as one compressed Arrow batch each."""
+    for whole in batches:
+        keys = list(zip(whole.column("lang").to_pylist(), whole.column("half").to_pylist(), strict=True))
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(keys):
+            groups.setdefault(key, []).append(i)
+        for (lang, half), at in groups.items():
+            for batch in tokens.slices(pa.Table.from_batches([whole]).take(at).combine_chunks().to_batches()[0], "text", SLICE):
+                full = pa.RecordBatch.from_arrays([*batch.columns, *_statistics(batch)], names=[*batch.schema.names, *_NAMES[:-1]])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, full.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(full)
+                number = uuid.uuid4().int >> 65
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((number, pa.int64()), (lang, pa.string()), (half, pa.int32()), (len(tokens.raw(batch.column("text"))[0]), pa.int64()), (sink.getvalue().to_pybytes(), pa.binary()))], names=["slice", "lang", "half", "size", "data"])
+
+
+def _good(batch: pa.RecordBatch, labelled: bool = False) -> pa.RecordBatch:
+    is_ = pc.is_valid(batch.column("quality")) if labelled else pc.fill_null(pc.equal(batch.column("quality"), 1), False)
+    return batch.filter(is_)
+
+
+def _ask(level: int, seeds: list[np.uint64], places: int):
+    """What slices ask of a level and, at the level of trigrams, what their good rows count there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.value if model else None
-        for whole in batches:
-            for batch in tokens.slices(whole, "text", 1 << 20):
-                text = batch.column("text")
-                data, offsets = tokens.raw(text)
-                starts, ends = tokens.spans(data, offsets)
-                words = tokens.hash_words(data, starts, ends, lower=False)
-                first = np.searchsorted(starts, offsets)
-                leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                sizes = np.concatenate([[0], np.cumsum(leads[ends] - leads[starts])])
-                symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-                lang = batch.column("lang").to_pylist()
-                columns = [
-                    np.diff(first),
-                    sizes[first[1:]] - sizes[first[:-1]],
-                    symbols[offsets[1:]] - symbols[offsets[:-1]],
-                    [duplicate_lines(t) for t in text.to_pylist()],
-                    repeated_words(words, first),
-                ]
-                log10 = score(words, first, lang) if score else np.zeros(batch.num_rows)
-                names = [*carry, *(c.split()[0] for c in _STATISTICS.split(", "))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c, pa.int64()) for c in columns), pa.array(log10, pa.float64())], names=names)
+        for rows in batches:
+            for r in range(rows.num_rows):
+                number, data, train, ask, some = (rows.column(c)[r].as_py() for c in ("slice", "data", "train", "ask", "some"))
+                batch, out = _unpack(data), []
+                if train is not None and level == 3:
+                    context, word, before, count, *_ = _asks(level, _good(batch), seeds[train])
+                    out += [_row(_TRAIN, level, train, -1, p, context[a:b], word[a:b], count[a:b].astype(np.int64), before[a:b]) for p, a, b in _by_place(context, places)]
+                if ask is not None:
+                    context, word, *_ = _asks(level, _good(batch, labelled=True) if some else batch, seeds[ask])
+                    out += [_row(_ASK, level, ask, number, p, context[a:b], word[a:b]) for p, a, b in _by_place(context, places)]
+                if out:
+                    yield _packets(out)
 
     return run
 
 
+def _count(level: int, places: int):
+    """At a place: counts of a level's n-grams, answers to what was asked, and what the level below counts, which is how many words each n-gram follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        train, asked = [], []
+        for rows in batches:
+            for kind, *packet in zip(*(rows.column(c).to_pylist() for c in ("kind", "model", "slice", "place", "a", "b", "n", "v")), strict=True):
+                (train if kind == _TRAIN else asked).append(packet)
+        join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[k], kind) for x in train)])
+        context, word, n = join(3, np.uint64), join(4, np.uint64), join(5, np.int64)
+        model = np.repeat(np.array([x[0] for x in train], np.int32), [len(x[3]) // 8 for x in train]) if train else np.zeros(0, np.int32)
+        order = np.lexsort((word, context))
+        context, word, n = context[order], word[order], n[order]
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        c = np.add.reduceat(n, first) if len(first) else n
+        context, word, model = context[first], word[first], model[order][first]
+        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(first) else first
+        sums = [np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
+        contexts, stats = context[at], np.stack(sums, 1)
+        pairs = _pair(context, word)
+        by = np.argsort(pairs)
+        pairs, counts = pairs[by], c[by]
+        if (pairs[1:] == pairs[:-1]).any():
+            raise RuntimeError("two n-grams have the same hash")
+        for k in np.unique(model):
+            of, some = c[model == k], model[at] == k
+            yield _packets([_row(_COUNTS, level, int(k), -1, -1, np.array([*((of == k).sum() for k in (1, 2, 3, 4)), *(x[some].sum() for x in sums)], np.int64))])
+        if level > 1 and len(c):
+            home = join(6, np.uint64)[order][first] if level == 3 else word
+            if level == 2:
+                word = home
+            order = np.lexsort((word, home, model))
+            home, word, model = home[order], word[order], model[order]
+            at = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (word[1:] != word[:-1])]))
+            n = np.diff(np.append(at, len(home)))
+            home, word, model = home[at], word[at], model[at]
+            for k in np.unique(model):
+                i, j = np.searchsorted(model, [k, k + 1])
+                yield _packets([_row(_TRAIN, level - 1, int(k), -1, p, home[i + a : i + b], word[i + a : i + b], n[i + a : i + b].astype(np.int64)) for p, a, b in _by_place(home[i:j], places)])
+        for whose, number, place, a, b, _, _ in asked:
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            key = _pair(a, b)
+            where = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+            got = np.where(pairs[where] == key, counts[where], 0) if len(pairs) else np.zeros(len(key), np.int64)
+            known = np.zeros((0, 4), np.int64)
+            if level > 1:
+                own = a[np.concatenate([[True], a[1:] != a[:-1]])]
+                where = np.minimum(np.searchsorted(contexts, own), max(0, len(contexts) - 1))
+                known = np.where((contexts[where] == own)[:, None], stats[where], 0) if len(contexts) else np.zeros((len(own), 4), np.int64)
+            yield _packets([_row(_REPLY, level, whose, number, place, got, known)])
+
+    return run
+
+
+def _cuts(n: np.ndarray) -> np.ndarray:
+    """The discounts of counts of 0, 1, 2 and more, from how many n-grams have a count of 1 to 4."""
+    y = n[0] / max(n[0] + 2 * n[1], 1)
+    return np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.1), k - 0.05) for k in (1, 2, 3)])
+
+
+def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], held: list[str], places: int):
+    """Statistics and log10 probability of each row, from a slice's data and the answers that it got."""
+
+    def score(batch: pa.RecordBatch, model: int, replies: dict) -> np.ndarray:
+        p = None
+        if (1, model) not in totals:
+            return np.zeros(batch.num_rows)
+        for level in (1, 2, 3):
+            context, *_, rank, first = _asks(level, batch, seeds[model])
+            cut = _cuts(totals[level, model])
+            got = [replies[level, place] for place, _, _ in _by_place(context, places)]
+            c = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in got)])
+            if level == 1:
+                stats = np.repeat(totals[1, model][None, 4:8], len(c), 0)
+            else:
+                stats = np.concatenate([np.zeros((0, 4), np.int64), *(x for _, x in got)])
+                stats = stats[np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]) - 1]
+            total = np.maximum(stats[:, 0], 1)
+            own = (c - cut[np.minimum(c, 3)]) / total
+            left = np.where(stats[:, 0] > 0, (stats[:, 1] * cut[1] + stats[:, 2] * cut[2] + stats[:, 3] * cut[3]) / total, 1.0)
+            p = own[rank] + left[rank] * (1 / OPEN_TYPES if p is None else p)
+        n = np.diff(first)
+        # Sums by row in the order of its words, whatever rows are beside it.
+        return np.bincount(np.repeat(np.arange(len(n)), n), weights=np.log10(p), minlength=len(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(data, model, some, replies):
+            batch = _unpack(data)
+            batch = _good(batch, labelled=True) if some else batch
+            log10 = score(batch, model, replies) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*held, *_NAMES[:-1]]), pa.array(log10, pa.float64()), pa.array([bool(some)] * batch.num_rows)], names=[*held, *_NAMES, "probe"])
+
+        now, data, model, some, replies = None, None, -1, False, {}
+        for rows in batches:
+            for kind, level, whose, number, place, a, b in zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "model", "slice", "place", "a", "b")), strict=True):
+                if number != now:
+                    if data is not None:
+                        yield from done(data, model, some, replies)
+                    now, data, replies = number, None, {}
+                if kind == _DATA:
+                    data, model, some = a, whose, place
+                else:
+                    replies[level, place] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(-1, 4)
+        if data is not None:
+            yield from done(data, model, some, replies)
+
+    return run
+
+
+def asked(slices: DataFrame, models: list[str], held: list[str], schema: StructType) -> DataFrame:
+    """The rows of slices (slice, data, train, ask, some) that ask, with log10 probabilities.
+
+    train and ask are places in models or null: the model that a slice's good rows are counted in, and the one that its
+    rows (if some: only labelled ones) ask. Without models the logs are 0.
+    """
+    spark = slices.sparkSession
+    places, seeds = partitions(spark), [_seed(x) for x in models]
+    tables, totals = [], {}
+    for level in (3, 2, 1) if models else ():
+        source = slices.mapInArrow(_ask(level, seeds, places), _PACKET)
+        if tables:
+            source = source.unionByName(tables[-1].where(F.col("kind") == _TRAIN))
+        tables.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
+        for r in tables[-1].where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
+            totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
+    columns = ["kind", "level", "model", "slice", "place", "a", "b"]
+    data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("b"))
+    for x in tables:
+        data = data.unionByName(x.where(F.col("kind") == _REPLY).select(columns))
+    out = durable(data.repartition("slice").sortWithinPartitions("slice").mapInArrow(_finish(totals, seeds, held, places), schema), "scored")
+    for x in tables:
+        drop_durable(x)
+    return out
+
+
 def student(share: float, freedom: int) -> float:
     """The quantile of Student's distribution, by the expansion around the normal one."""
     z = NormalDist().inv_cdf(share)
@@ -235,11 +458,17 @@ def band(scored: list[tuple[float, int]]) -> tuple[float, float]:
     """Lower and upper bound of log10 perplexity from (value, quality): each side rejects as many bad rows as it can without losing more than LOSS of the good ones, and must reject more bad rows than good ones; without rows that support it, no bound."""
     good = np.sort([x for x, q in scored if q])
     bad = np.sort([x for x, q in scored if not q])
-    if not len(good) or not len(bad):
-        return -np.inf, np.inf
     if len(good) < LEAST_GOOD:
         return -np.inf, np.inf
     spare = int(LOSS * len(good))
+    edge, top = _edges(good)
+    above, below = bad[bad > top], bad[bad < edge]
+    return _bounds(edge, top, spare, len(below), below.max(initial=-np.inf), len(above), above.min(initial=np.inf))
+
+
+def _edges(good: np.ndarray) -> tuple[float, float]:
+    """The values of sorted good rows between which bands may not reject."""
+    spare = int(LOSS * len(good))
     edge, top = good[spare], good[len(good) - 1 - spare]
     if not spare:
         # So few rows don't show where LOSS of them lies: the bounds are at least those of the next row, by the spread of either side.
@@ -247,59 +476,93 @@ def band(scored: list[tuple[float, int]]) -> tuple[float, float]:
         reach = student(1 - LOSS, len(good) - 1) * (1 + 1 / len(good)) ** 0.5
         below, above = ((good[x] - middle) for x in (good <= middle, good >= middle))
         edge, top = min(edge, middle - reach * (below**2).mean() ** 0.5), max(top, middle + reach * (above**2).mean() ** 0.5)
-    # Half way to the next bad row, so that good rows a little beyond the sample's stay.
-    above, below = bad[bad > top], bad[bad < edge]
-    upper = (top + above[0]) / 2 if len(above) > spare else np.inf
-    lower = (edge + below[-1]) / 2 if len(below) > spare else -np.inf
-    return float(lower), float(upper)
-
-
-def _samples(docs: DataFrame, labels: DataFrame, id: str, lang: str, train_rows: int, band_rows: int) -> DataFrame:
-    """(id, model, part, quality): rows to train on and rows to set bands by, per language and for all; by a hash of the id."""
-    known = labels.where("quality in (0, 1)").select(F.col(id).alias("id"), "quality").dropDuplicates(["id"])
-    rows = docs.select(F.col(id).alias("id"), F.col(lang).alias("lang")).where("id is not null").dropDuplicates(["id"]).join(known, "id")
-    rows = rows.select("id", "quality", F.explode(F.array(F.lit(ALL), F.coalesce("lang", F.lit(ALL)))).alias("model")).distinct()
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    size = rows.groupBy("model").agg(F.count("*").alias("n"))  # a row a language
-    most = 3 * train_rows + band_rows
-    chosen = rows.join(F.broadcast(size), "model").where(F.col("u") <= F.lit(1.3 * most) / F.col("n"))  # about 1.3 times as many rows as are needed
-    place = chosen.withColumn("good", F.row_number().over(Window.partitionBy("model", "quality").orderBy("u", "id")))
-    place = place.withColumn("part", F.when((F.col("quality") == 1) & (F.col("good") <= train_rows) & (F.col("good") <= 0.5 * F.col("n")), "train").otherwise("band"))
-    place = place.withColumn("k", F.row_number().over(Window.partitionBy("model", "part").orderBy("u", "id")))
-    return place.where(F.col("k") <= F.when(F.col("part") == "train", train_rows).otherwise(band_rows)).select("id", "model", "part", "quality")
+    return float(edge), float(top)
+
+
+def _bounds(edge: float, top: float, spare: int, n_below: int, below: float, n_above: int, above: float) -> tuple[float, float]:
+    # Half way to the next bad row, so that good rows a little beyond the labelled ones stay.
+    return float((edge + below) / 2 if n_below > spare else -np.inf), float((top + above) / 2 if n_above > spare else np.inf)
+
+
+def _bands(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """Bands by `lang` of rows (lang, value, quality), as band() has them; only a language's few good rows, or its edges, are collected."""
+    good = {r.lang: r.n for r in rows.where("quality = 1").groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n >= LEAST_GOOD}  # a row a language
+    few = [x for x, n in good.items() if not int(LOSS * n)]
+    values: dict[str, list[float]] = {}
+    for r in rows.where("quality = 1").where(F.col("lang").isin(few)).select("lang", "value").collect() if few else []:  # under 1 / LOSS a language
+        values.setdefault(r.lang, []).append(r.value)
+    edges = {x: _edges(np.sort(v)) for x, v in values.items()}
+    for x in good:
+        if x not in edges:
+            own, most = rows.where("quality = 1").where(F.col("lang") == x).select("value"), int(LOSS * good[x]) + 1
+            edges[x] = own.orderBy("value").limit(most).agg(F.max("value")).first()[0], own.orderBy(F.desc("value")).limit(most).agg(F.min("value")).first()[0]
+    if not edges:
+        return {}
+    side = rows.sparkSession.createDataFrame([(x, *map(float, e)) for x, e in edges.items()], "lang string, edge double, top double")
+    bad = rows.where("quality = 0").join(F.broadcast(side), "lang")  # a row a language
+    under, over = (F.when(F.col("value") < F.col("edge"), F.col("value")), F.when(F.col("value") > F.col("top"), F.col("value")))
+    found = bad.groupBy("lang").agg(F.count(under).alias("n_below"), F.max(under).alias("below"), F.count(over).alias("n_above"), F.min(over).alias("above")).collect()
+    return {r.lang: _bounds(*edges[r.lang], int(LOSS * good[r.lang]), r.n_below, r.below, r.n_above, r.above) for r in found}
 
 
 def _parse(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS, band_rows: int = BAND_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log10_perplexity.
 
     base_failed: under 50 words, or more than half the words in repeated three-word windows. kept: not base_failed, and
     the perplexity lies within the bands of the document's language. A language whose labelled rows don't support a band
     has none, so nothing of it is rejected by perplexity; a null one has the bands of all languages together. A null text has no words. Null and
-    repeated ids pass through (labelled ids that repeat count once in the samples); an empty table gives no rows; other
+    repeated ids pass through (of an id's labels the least quality counts); an empty table gives no rows; other
     columns are ignored, but for those to carry, which come along.
     """
     spark = docs.sparkSession
-    sample = durable(_samples(docs, labels, id, lang, train_rows, band_rows), "labelled")
-    names = sample.limit(1).count()
     src = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)])
-    model, bands = None, {}
-    if names:
-        # The sample is bounded by its parameters, so it is broadcast to the texts; its texts are kept.
-        texts = durable(src.select("id", "text").join(F.broadcast(sample), "id"), "sample")
-        model = spark.sparkContext.broadcast(Model(texts.where("part = 'train'").select("model", "text")))
-        tried = texts.where("part = 'band'").select(F.col("quality").cast("string").alias("key"), F.col("model").alias("lang"), "text").mapInArrow(_measure(model, ["key", "lang"]), f"key string, lang string, {_STATISTICS}")
-        by: dict[str, list] = {}
-        for r in tried.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").select("key", "lang", "log10", "n_words").collect():  # band_rows a language at most
-            by.setdefault(r.lang, []).append((-r.log10 / r.n_words, int(r.key)))
-        bands = {x: band(v) for x, v in by.items()}
-    held = [c for c in src.columns if c != "text"]
-    rows = src.select(*held, "text")
-    schema = StructType([rows.schema[c] for c in held] + _parse(_STATISTICS).fields)
-    out = rows.mapInArrow(_measure(model, held), schema)
+    known = labels.where("quality in (0, 1)").select(F.col(id).alias("id"), F.col("quality").cast("int").alias("quality")).where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
+    rows = src.join(known, "id", "left").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int"))
+    held = [c for c in src.columns if c != "text"] + ["quality"]
+    schema = StructType([rows.schema[c] for c in held] + _parse(f"{_STATISTICS}, probe boolean").fields)
+    slices = durable(rows.mapInArrow(_cut, "slice long, lang string, half int, size long, data binary"), "slices")
+    there = slices.groupBy("lang", "half").agg(F.sum("size").alias("size")).collect()  # two rows a language
+    trained = src.select("id", "lang").join(known.where("quality = 1"), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int")).select("lang", "half").distinct().collect()
+    models = {(r.lang, r.half) for r in trained if r.lang is not None} | {(ALL, r.half) for r in trained}
+    # Who asks whom: the other half of the own language, else of all together, else nobody.
+    size = {(r.lang, r.half): r.size for r in there}
+    asks = {x: next((m for m in ((x[0], 1 - x[1]), (ALL, 1 - x[1])) if m in models), None) for x in size}
+    blank = any(x[0] is None for x in size)  # their bands are of all labelled rows
+    waves: list[list[tuple[str, int]]] = [[x] for x in sorted(m for m in models if m[0] == ALL and (blank or m in asks.values()))]
+    room = 0
+    for m in sorted((m for m in set(asks.values()) if m and m[0] != ALL), key=lambda m: (-size.get(m, 0), m)):
+        own = size.get(m, 0) + sum(n for x, n in size.items() if asks[x] == m)
+        if own > room:
+            waves.append([])
+            room = max(WAVE, 2 * max(size.values()))
+        waves[-1].append(m)
+        room -= own
+    if None in asks.values():
+        waves.append([])
+    pick = lambda of: reduce(lambda c, x: c.when(F.col("lang").eqNullSafe(F.lit(x[0][0])) & (F.col("half") == x[0][1]), F.lit(x[1])), of.items(), F.when(F.lit(False), F.lit(0)))
+    parts = []
+    for wave in waves:
+        at = {m: k for k, m in enumerate(wave)}
+        ask = pick({x: at.get(m, -1) for x, m in asks.items() if m in at or (m is None and not wave)})
+        train, some = pick({x: k for x, k in at.items() if x in size}), F.lit(False)
+        if wave and wave[0][0] == ALL:
+            train = F.when(F.col("half") == wave[0][1], F.lit(0))
+            if blank:
+                some = (F.col("half") == 1 - wave[0][1]) & ask.isNull()
+        chosen = slices.select("slice", "data", train.alias("train"), F.coalesce(ask, F.when(some, F.lit(0))).alias("ask"), some.alias("some"))
+        parts.append(asked(chosen.where("train is not null or ask is not null"), [f"{x} {half}" for x, half in wave], held, schema))
+        release(spark)
+    drop_durable(slices)
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    tried = out.where("quality is not null and n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").withColumn("value", -F.col("log10") / F.col("n_words"))
+    bands = _bands(tried.where("not probe and lang is not null").select("lang", "value", "quality"))
+    if blank:
+        bands[ALL] = _bands(tried.where("probe or lang is null").select(F.lit(ALL).alias("lang"), "value", "quality")).get(ALL, (-np.inf, np.inf))
+    out = out.where("not probe")
     value = F.when(F.col("n_words") > 0, -F.col("log10") / F.col("n_words"))
     low, high = (F.when(F.lit(False), F.lit(0.0)) for _ in range(2))
     for x, (a, b) in bands.items():

@@ -392,6 +392,29 @@ def test_quality_keeps_good_rows_and_rejects_bad_ones(spark, sf):
     assert kept[1] > 0.98 and kept[0] < 0.2
 
 
+def test_quality_counts_all_labelled_rows(spark):
+    """Models are those of all good rows of the other half, and bands those of all labelled rows, also of languages together for rows without one."""
+    import random
+
+    rng = random.Random(11)
+    text = lambda lang: " ".join(rng.choice([lang, "a", "b"]) + str(rng.randrange(9)) for _ in range(rng.randrange(50, 70)))
+    junk = lambda: " ".join(f"zq{rng.randrange(10**9)}" for _ in range(55))
+    rows = [(i, text("en"), "en") for i in range(1100)] + [(i, text("de"), "de") for i in range(2000, 2050)] + [(i, text("en"), None) for i in range(3000, 3006)] + [(i, junk(), "en") for i in range(4000, 4040)]
+    known = [(i, 1) for i in [*range(1050), *range(2000, 2040), 3000]] + [(i, 0) for i in range(4000, 4030)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    half = {r.doc_id: r.half for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("half")).collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, spark.createDataFrame(known, "doc_id long, quality int")).collect()}
+    label = dict(known)
+    models = {(x, h): brute_kneser_ney([t.split() for i, t, lang in rows if label.get(i) == 1 and half[i] == h and x in (lang, "*")]) for x in ("en", "de", "*") for h in (0, 1)}
+    value = lambda i, t, x: -models[x, 1 - half[i]](t.split()) / len(t.split())
+    want = {i: value(i, t, lang or "*") for i, t, lang in rows}
+    assert all(math.isclose(got[i].log10_perplexity, want[i], rel_tol=1e-9) for i in want)
+    bands = {x: quality.band([(want[i] if x != "*" else value(i, t, "*"), label[i]) for i, t, lang in rows if i in label and x in (lang, "*")]) for x in ("en", "de", "*")}
+    base = {i: brute_quality(t)[-1] for i, t, _ in rows}
+    assert {i: got[i].kept for i in want} == {i: not base[i] and bands[lang or "*"][0] <= want[i] <= bands[lang or "*"][1] for i, _, lang in rows}
+    assert bands["en"][1] < math.inf
+
+
 def test_quality_without_labels_and_of_nothing(edges, nothing, labels):
     got = quality.quality(edges, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in got) and len(got) == len(EDGES)
