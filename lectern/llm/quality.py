@@ -32,6 +32,8 @@ from lectern.llm.common import drop_durable, durable, partitions, release
 SLICE = 4 << 20
 #: Bytes of text whose models are built and asked at once, if no model has more: it bounds the space, not the result.
 WAVE = 1 << 27
+#: Turns that the places of a level take, which bounds the space as well.
+TURNS = 3
 #: Good labelled rows that a language's bands need: of fewer, nothing follows about the next one.
 LEAST_GOOD = 5
 #: Word types that the probability of unknown words is spread over.
@@ -292,8 +294,9 @@ def _good(batch: pa.RecordBatch, labelled: bool = False) -> pa.RecordBatch:
     return batch.filter(is_)
 
 
-def _ask(level: int, seeds: list[np.uint64], places: int):
-    """What slices ask of a level and, at the level of trigrams, what their good rows count there."""
+def _ask(level: int, seeds: list[np.uint64], places: int, turn: int, turns: int):
+    """What slices ask of a level and, at the level of trigrams, what their good rows count there; of the places whose turn it is."""
+    now = lambda home: [x for x in _by_place(home, places) if x[0] % turns == turn]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -302,10 +305,10 @@ def _ask(level: int, seeds: list[np.uint64], places: int):
                 batch, out = _unpack(data), []
                 if train is not None and level == 3:
                     context, word, before, count, *_ = _asks(level, _good(batch), seeds[train])
-                    out += [_row(_TRAIN, level, train, -1, p, context[a:b], word[a:b], count[a:b].astype(np.int64), before[a:b]) for p, a, b in _by_place(context, places)]
+                    out += [_row(_TRAIN, level, train, -1, p, context[a:b], word[a:b], count[a:b].astype(np.int64), before[a:b]) for p, a, b in now(context)]
                 if ask is not None:
                     context, word, *_ = _asks(level, _good(batch, labelled=True) if some else batch, seeds[ask])
-                    out += [_row(_ASK, level, ask, number, p, context[a:b], word[a:b]) for p, a, b in _by_place(context, places)]
+                    out += [_row(_ASK, level, ask, number, p, context[a:b], word[a:b]) for p, a, b in now(context)]
                 if out:
                     yield _packets(out)
 
@@ -362,7 +365,8 @@ def _count(level: int, places: int):
                 own = a[np.concatenate([[True], a[1:] != a[:-1]])]
                 where = np.minimum(np.searchsorted(contexts, own), max(0, len(contexts) - 1))
                 known = np.where((contexts[where] == own)[:, None], stats[where], 0) if len(contexts) else np.zeros((len(own), 4), np.int64)
-            yield _packets([_row(_REPLY, level, whose, number, place, got, known)])
+            kind = np.uint32 if max(got.max(initial=0), known.max(initial=0)) < 1 << 32 else np.int64
+            yield _packets([_row(_REPLY, level, whose, number, place, got.astype(kind), known.astype(kind))])
 
     return run
 
@@ -383,7 +387,11 @@ def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], h
         for level in (1, 2, 3):
             context, *_, rank, first = _asks(level, batch, seeds[model])
             cut = _cuts(totals[level, model])
-            got = [replies[level, place] for place, _, _ in _by_place(context, places)]
+            got = []
+            for place, i, j in _by_place(context, places):
+                kind = np.uint32 if len(replies[level, place][0]) == 4 * (j - i) else np.int64
+                c, stats = (np.frombuffer(x, kind).astype(np.int64) for x in replies[level, place])
+                got.append((c, stats.reshape(-1, 4)))
             c = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in got)])
             if level == 1:
                 stats = np.repeat(totals[1, model][None, 4:8], len(c), 0)
@@ -415,7 +423,7 @@ def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], h
                 if kind == _DATA:
                     data, model, some = a, whose, place
                 else:
-                    replies[level, place] = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(-1, 4)
+                    replies[level, place] = a, b
         if data is not None:
             yield from done(data, model, some, replies)
 
@@ -430,14 +438,21 @@ def asked(slices: DataFrame, models: list[str], held: list[str], schema: StructT
     """
     spark = slices.sparkSession
     places, seeds = partitions(spark), [_seed(x) for x in models]
-    tables, totals = [], {}
+    tables, totals, above = [], {}, []
     for level in (3, 2, 1) if models else ():
-        source = slices.mapInArrow(_ask(level, seeds, places), _PACKET)
-        if tables:
-            source = source.unionByName(tables[-1].where(F.col("kind") == _TRAIN))
-        tables.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
-        for r in tables[-1].where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
-            totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
+        # Places take turns, so that not all packets are there at once.
+        turns, mine = TURNS if level > 1 else 1, []
+        for turn in range(turns):
+            source = slices.mapInArrow(_ask(level, seeds, places, turn, turns), _PACKET)
+            for x in above:
+                source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") % turns == turn)))
+            mine.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
+            release(spark)
+        above = mine
+        tables += mine
+        for x in mine:
+            for r in x.where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
+                totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
     columns = ["kind", "level", "model", "slice", "place", "a", "b"]
     data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("b"))
     for x in tables:
@@ -525,6 +540,7 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     held = [c for c in src.columns if c != "text"] + ["quality"]
     schema = StructType([rows.schema[c] for c in held] + _parse(f"{_STATISTICS}, probe boolean").fields)
     slices = durable(rows.mapInArrow(_cut, "slice long, lang string, half int, size long, data binary"), "slices")
+    release(spark)
     there = slices.groupBy("lang", "half").agg(F.sum("size").alias("size")).collect()  # two rows a language
     trained = src.select("id", "lang").join(known.where("quality = 1"), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int")).select("lang", "half").distinct().collect()
     models = {(r.lang, r.half) for r in trained if r.lang is not None} | {(ALL, r.half) for r in trained}
@@ -538,7 +554,7 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
         own = size.get(m, 0) + sum(n for x, n in size.items() if asks[x] == m)
         if own > room:
             waves.append([])
-            room = max(WAVE, 2 * max(size.values()))
+            room = max(WAVE, max(size.values()))
         waves[-1].append(m)
         room -= own
     if None in asks.values():
