@@ -20,10 +20,9 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lectern.llm import tokens
 from lectern.llm.common import drop_durable, durable, partitions, release
@@ -32,8 +31,8 @@ from lectern.llm.common import drop_durable, durable, partitions, release
 SLICE = 4 << 20
 #: Bytes of text whose models are built and asked at once, if no model has more: it bounds the space, not the result.
 WAVE = 1 << 27
-#: Turns that the places of a level take, which bounds the space as well.
-TURNS = 3
+#: Turns that the places of a level take at most, which bounds the space as well, and the bytes of text that add a turn.
+TURNS, TURN = {3: 4, 2: 2, 1: 1}, 1 << 26
 #: Good labelled rows that a language's bands need: of fewer, nothing follows about the next one.
 LEAST_GOOD = 5
 #: Word types that the probability of unknown words is spread over.
@@ -203,7 +202,7 @@ def duplicate_lines(text: str) -> int:
 _STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10 double"
 
 
-def _statistics(batch: pa.RecordBatch) -> list[pa.Array]:
+def _statistics(batch: pa.RecordBatch) -> tuple[list[pa.Array], Words]:
     text = batch.column("text")
     data, offsets = tokens.raw(text)
     starts, ends = tokens.spans(data, offsets)
@@ -219,12 +218,13 @@ def _statistics(batch: pa.RecordBatch) -> list[pa.Array]:
         [duplicate_lines(t) for t in text.to_pylist()],
         repeated_words(words, first),
     ]
-    return [pa.array(c, pa.int64()) for c in columns]
+    return [pa.array(c, pa.int64()) for c in columns], Words.of(words, np.diff(first))
 
 
 _NAMES = [c.split()[0] for c in _STATISTICS.split(", ")]
 _PACKET = "kind int, level int, model int, slice long, place int, a binary, b binary, n binary, v binary"
 _TRAIN, _ASK, _REPLY, _COUNTS, _DATA = range(5)
+_NONE = np.zeros(0, np.uint64)
 
 
 def _row(kind: int, level: int, model: int, slice_: int, place: int, *arrays: np.ndarray) -> tuple:
@@ -238,6 +238,29 @@ def _packets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Packets of some MB together."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += sum(map(len, filter(None, row[5:])))
+        if size > SLICE:
+            yield _packets(out)
+            out, size = [], 0
+    if out:
+        yield _packets(out)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they all need."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """n numbers that _narrow made narrow."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _places(home: np.ndarray, places: int) -> np.ndarray:
     """The place of each hash; sorted hashes have sorted places."""
     return (((home >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
@@ -247,126 +270,252 @@ def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return tokens.mix(context * _B + word * _C)
 
 
-def _asks(level: int, batch: pa.RecordBatch, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' n-grams of a level, each once and sorted by context: context, last word, word before it, count, and by word of the texts its n-gram; and the rows' first words."""
-    words, first = tokens.words(batch.column("text"), lower=False)
-    one, two, _, at = _grams(words, first, np.full(batch.num_rows, seed))
-    word, before = one[at], one[at - 1]
-    context = two[at - 1] if level == 3 else before if level == 2 else word
-    _, index, inverse, count = np.unique(_pair(context, word), return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(context[index], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    index = index[order]
-    return context[index], word[index], before[index], count[order], rank[inverse], first
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _by_place(place: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, from, to) of sorted places."""
+    at = _heads(place)
+    return [(int(place[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(place)], strict=False)]
+
+
+def _distinct(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys, each once, by place and then by key: where each is first found, how often, its place, and for every key which of them it is.
+
+    Equal keys are of one place.
+    """
+    by = np.argsort(keys)
+    at = _heads(keys[by])
+    n = np.diff(np.append(at, len(by)))
+    first = by[at]
+    order = np.argsort(place[first].astype(np.uint16 if place.max(initial=0) < 1 << 16 else np.int64), kind="stable")
+    position = np.empty(len(order), np.int64)
+    position[order] = np.arange(len(order))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.repeat(position, n)
+    return first[order], n[order], place[first[order]], rank
 
 
-def _by_place(home: np.ndarray, places: int) -> list[tuple[int, int, int]]:
-    """(place, from, to) of hashes sorted by place."""
-    place = _places(home, places)
-    cuts = np.flatnonzero(np.diff(place, prepend=-1))
-    return [(int(place[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(place)), strict=False)]
+class Words:
+    """The words of a slice's rows: a vocabulary of hashes, the more frequent first, and numbers in it."""
+
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
+        self.vocabulary, self.codes, self.sizes = vocabulary, codes, sizes
+
+    @classmethod
+    def of(cls, words: np.ndarray, sizes: np.ndarray) -> Words:
+        first, n, _, rank = _distinct(words, np.zeros(len(words), np.int64))
+        order = np.argsort(-n, kind="stable")
+        code = np.empty(len(order), np.int64)
+        code[order] = np.arange(len(order))
+        return cls(words[first][order], code[rank], sizes)
+
+    def packed(self) -> bytes:
+        kind = np.dtype(np.uint16 if len(self.vocabulary) <= 1 << 16 else np.uint32)
+        # Bytes of like weight side by side take less space.
+        planes = self.codes.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+        columns = [self.vocabulary, *np.ascontiguousarray(planes), self.sizes.astype(np.uint32)]
+        return _pack(pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.large_binary()) for x in columns], names=[str(k) for k in range(len(columns))]))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Words:
+        columns = [np.frombuffer(c[0].as_buffer(), np.uint8) for c in _unpack(data).columns]
+        planes = np.stack(columns[1:-1], 1)
+        codes = np.ascontiguousarray(planes).reshape(-1).view(f"u{planes.shape[1]}")
+        return cls(columns[0].view(np.uint64), codes.astype(np.int64), columns[-1].view(np.uint32).astype(np.int64))
+
+    def where(self, rows: np.ndarray) -> Words:
+        return Words(self.vocabulary, self.codes[np.repeat(rows, self.sizes)], self.sizes[rows])
+
+    def ones(self, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words that the rows have, each once, and which of them each word is."""
+        there = np.bincount(self.codes, minlength=len(self.vocabulary)) > 0
+        return tokens.mix(self.vocabulary[there] + seed), (np.cumsum(there) - 1)[self.codes]
+
+    def grams(self, level: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By word: the hashes of its context at a level above 1, of itself and of the word before."""
+        first = np.concatenate([[0], np.cumsum(self.sizes)])
+        one, two, _, at = _grams(self.vocabulary[self.codes], first, np.full(len(self.sizes), seed))
+        return two[at - 1] if level == 3 else one[at - 1], one[at], one[at - 1]
+
+
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _unpack(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
 
 
+def _slice(lang: str | None, half: int, whole: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in tokens.slices(whole.combine_chunks().to_batches()[0], "text", SLICE):
+        statistics, words = _statistics(batch)
+        held = [c for c in batch.schema.names if c != "text"]
+        full = pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *statistics], names=[*held, *_NAMES[:-1]])
+        size = len(tokens.raw(batch.column("text"))[0])
+        columns = [(uuid.uuid4().int >> 65, pa.int64()), (lang, pa.string()), (half, pa.int32()), (size, pa.int64()), (_pack(full), pa.binary()), (words.packed(), pa.binary())]
+        ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in columns), ids], names=["slice", "lang", "half", "size", "data", "words", "ids"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices: rows of a language and half, with their statistics, as one compressed Arrow batch each."""
+    """Slices: rows of a language and half, with their statistics and words. What is left of a batch waits for the next ones."""
+    waiting: dict[tuple, list[pa.RecordBatch]] = {}
+    sizes: dict[tuple, int] = {}
     for whole in batches:
-        keys = list(zip(whole.column("lang").to_pylist(), whole.column("half").to_pylist(), strict=True))
         groups: dict[tuple, list[int]] = {}
-        for i, key in enumerate(keys):
+        for i, key in enumerate(zip(whole.column("lang").to_pylist(), whole.column("half").to_pylist(), strict=True)):
             groups.setdefault(key, []).append(i)
-        for (lang, half), at in groups.items():
-            for batch in tokens.slices(pa.Table.from_batches([whole]).take(at).combine_chunks().to_batches()[0], "text", SLICE):
-                full = pa.RecordBatch.from_arrays([*batch.columns, *_statistics(batch)], names=[*batch.schema.names, *_NAMES[:-1]])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, full.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(full)
-                number = uuid.uuid4().int >> 65
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((number, pa.int64()), (lang, pa.string()), (half, pa.int32()), (len(tokens.raw(batch.column("text"))[0]), pa.int64()), (sink.getvalue().to_pybytes(), pa.binary()))], names=["slice", "lang", "half", "size", "data"])
-
-
-def _good(batch: pa.RecordBatch, labelled: bool = False) -> pa.RecordBatch:
-    is_ = pc.is_valid(batch.column("quality")) if labelled else pc.fill_null(pc.equal(batch.column("quality"), 1), False)
-    return batch.filter(is_)
+        for key, at in groups.items():
+            for some in tokens.slices(whole.take(pa.array(at)), "text", SLICE):
+                waiting.setdefault(key, []).append(pa.Table.from_batches([some]).combine_chunks().to_batches()[0])
+                sizes[key] = sizes.get(key, 0) + len(tokens.raw(some.column("text"))[0])
+                if sizes[key] >= SLICE:
+                    yield from _slice(*key, pa.Table.from_batches(waiting.pop(key)))
+                    sizes.pop(key)
+        if sum(sizes.values()) > 16 * SLICE:
+            for key in list(waiting):
+                yield from _slice(*key, pa.Table.from_batches(waiting.pop(key)))
+            sizes = {}
+    for key, parts in waiting.items():
+        yield from _slice(*key, pa.Table.from_batches(parts))
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two bits for each row of a slice: whether it has a label, and whether a good one."""
+    for batch in batches:
+        out = []
+        for n, labels in zip(batch.column("n").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+            bits = np.zeros((2, n), bool)
+            for x in labels:
+                bits[0, x // 2], bits[1, x // 2] = True, x % 2
+            out.append((np.packbits(bits).tobytes(), int(bits[1].sum())))
+        yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.int64())], names=["slice", "marks", "good"])
+
+
+def _marks(data: bytes | None, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a label, and which a good one."""
+    if data is None:
+        return np.zeros(rows, bool), np.zeros(rows, bool)
+    return tuple(np.unpackbits(np.frombuffer(data, np.uint8), count=2 * rows).astype(bool).reshape(2, rows))
 
 
 def _ask(level: int, seeds: list[np.uint64], places: int, turn: int, turns: int):
     """What slices ask of a level and, at the level of trigrams, what their good rows count there; of the places whose turn it is."""
-    now = lambda home: [x for x in _by_place(home, places) if x[0] % turns == turn]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in range(rows.num_rows):
-                number, data, train, ask, some = (rows.column(c)[r].as_py() for c in ("slice", "data", "train", "ask", "some"))
-                batch, out = _unpack(data), []
-                if train is not None and level == 3:
-                    context, word, before, count, *_ = _asks(level, _good(batch), seeds[train])
-                    out += [_row(_TRAIN, level, train, -1, p, context[a:b], word[a:b], count[a:b].astype(np.int64), before[a:b]) for p, a, b in now(context)]
+    def taken(words: Words, seed: np.uint64, kind: int, model: int, number: int) -> Iterator[tuple]:
+        if level == 1:
+            word, _ = words.ones(seed)
+            context = before = word
+        else:
+            context, word, before = words.grams(level, seed)
+        place = _places(context, places)
+        if turns > 1:
+            now = np.flatnonzero(place % turns == turn)
+            context, word, before, place = context[now], word[now], before[now], place[now]
+        pair = context if level == 1 else _pair(context, word)
+        first, n, place, _ = _distinct(pair, place)
+        if kind == _TRAIN:
+            n = _narrow(n)
+            for p, a, b in _by_place(place):
+                i = first[a:b]
+                yield _row(_TRAIN, level, model, -1, p, context[i], word[i], n[a:b], before[i])
+            return
+        pair = pair[first]
+        own = np.sort(context) if level > 1 else _NONE
+        own = own[_heads(own)]
+        contexts = {p: own[a:b] for p, a, b in _by_place(_places(own, places))}
+        for p, a, b in _by_place(place):
+            yield _row(_ASK, level, model, number, p, contexts.get(p, _NONE), pair[a:b])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number, data, marks, train, ask, some = (batch.column(c)[r].as_py() for c in ("slice", "words", "marks", "train", "ask", "some"))
+                words = Words.unpacked(data)
+                labelled, good = _marks(marks, len(words.sizes))
+                if train is not None and level == 3 and good.any():
+                    yield from taken(words.where(good), seeds[train], _TRAIN, train, -1)
                 if ask is not None:
-                    context, word, *_ = _asks(level, _good(batch, labelled=True) if some else batch, seeds[ask])
-                    out += [_row(_ASK, level, ask, number, p, context[a:b], word[a:b]) for p, a, b in now(context)]
-                if out:
-                    yield _packets(out)
+                    yield from taken(words.where(labelled) if some else words, seeds[ask], _ASK, ask, number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(rows(batches))
 
     return run
 
 
+def _found(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of keys in a sorted table, 0 where they aren't there."""
+    if not len(table):
+        return np.zeros((len(keys), *values.shape[1:]), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    out = values[at]
+    out[table[at] != keys] = 0
+    return out
+
+
+def _once(keys: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where runs begin in it; keys are hashes of what stands beside them."""
+    order = np.argsort(keys)
+    at = _heads(keys[order])
+    run = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    if any((x[order] != x[run]).any() for x in of):
+        raise RuntimeError("two n-grams have the same hash")
+    return order, at
+
+
 def _count(level: int, places: int):
     """At a place: counts of a level's n-grams, answers to what was asked, and what the level below counts, which is how many words each n-gram follows."""
 
+    def rows(train: list, asked: list) -> Iterator[tuple]:
+        join = lambda k, kind=np.uint64: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[k], kind) for x in train)])
+        context = join(3)
+        word = join(4) if level > 1 else context
+        n = np.concatenate([np.zeros(0, np.int64), *(_wide(x[5], len(x[3]) // 8) for x in train)])
+        model = np.repeat(np.array([x[0] for x in train], np.int32), [len(x[3]) // 8 for x in train])
+        before = join(6) if level == 3 else word
+        train.clear()
+        pairs = _pair(context, word) if level > 1 else context
+        order, at = _once(pairs, context, word)
+        c = np.add.reduceat(n[order], at) if len(at) else n
+        order = order[at]
+        pairs, context, word, before, model = (x[order] for x in (pairs, context, word, before, model))
+        order = np.argsort(context)
+        own = context[order]
+        at = _heads(own)
+        sums = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0, np.int64) for x in (c, *((x.astype(np.int64)) for x in (c == 1, c == 2, c > 2)))]
+        contexts, stats, whose = own[at], np.stack(sums, 1), model[order][at]
+        for k in np.unique(model):
+            of, some = c[model == k], whose == k
+            yield _row(_COUNTS, level, int(k), -1, -1, np.array([*((of == k).sum() for k in (1, 2, 3, 4)), *(x[some].sum() for x in sums)], np.int64))
+        if level > 1 and len(c):
+            home = before if level == 3 else word
+            order, at = _once(_pair(home, word) if level == 3 else home, home, word)
+            n = np.diff(np.append(at, len(order)))
+            order = order[at]
+            home, word, of = home[order], word[order], model[order]
+            key = of.astype(np.int64) * places + _places(home, places)
+            order = np.argsort(key, kind="stable")
+            for k, i, j in _by_place(key[order]):
+                at = order[i:j]
+                yield _row(_TRAIN, level - 1, k // places, -1, k % places, home[at], word[at] if level == 3 else _NONE, _narrow(n[at]))
+        for whose, number, place, a, b, *_ in asked:
+            got = _found(pairs, np.frombuffer(b, np.uint64), c)
+            known = _found(contexts, np.frombuffer(a, np.uint64), stats)
+            yield _row(_REPLY, level, whose, number, place, _narrow(got), _narrow(known))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, asked = [], []
-        for rows in batches:
-            for kind, *packet in zip(*(rows.column(c).to_pylist() for c in ("kind", "model", "slice", "place", "a", "b", "n", "v")), strict=True):
+        for batch in batches:
+            for kind, *packet in zip(*(batch.column(c).to_pylist() for c in ("kind", "model", "slice", "place", "a", "b", "n", "v")), strict=True):
                 (train if kind == _TRAIN else asked).append(packet)
-        join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[k], kind) for x in train)])
-        context, word, n = join(3, np.uint64), join(4, np.uint64), join(5, np.int64)
-        model = np.repeat(np.array([x[0] for x in train], np.int32), [len(x[3]) // 8 for x in train]) if train else np.zeros(0, np.int32)
-        order = np.lexsort((word, context))
-        context, word, n = context[order], word[order], n[order]
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(order) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        c = np.add.reduceat(n, first) if len(first) else n
-        context, word, model = context[first], word[first], model[order][first]
-        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(first) else first
-        sums = [np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
-        contexts, stats = context[at], np.stack(sums, 1)
-        pairs = _pair(context, word)
-        by = np.argsort(pairs)
-        pairs, counts = pairs[by], c[by]
-        if (pairs[1:] == pairs[:-1]).any():
-            raise RuntimeError("two n-grams have the same hash")
-        for k in np.unique(model):
-            of, some = c[model == k], model[at] == k
-            yield _packets([_row(_COUNTS, level, int(k), -1, -1, np.array([*((of == k).sum() for k in (1, 2, 3, 4)), *(x[some].sum() for x in sums)], np.int64))])
-        if level > 1 and len(c):
-            home = join(6, np.uint64)[order][first] if level == 3 else word
-            if level == 2:
-                word = home
-            order = np.lexsort((word, home, model))
-            home, word, model = home[order], word[order], model[order]
-            at = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (word[1:] != word[:-1])]))
-            n = np.diff(np.append(at, len(home)))
-            home, word, model = home[at], word[at], model[at]
-            for k in np.unique(model):
-                i, j = np.searchsorted(model, [k, k + 1])
-                yield _packets([_row(_TRAIN, level - 1, int(k), -1, p, home[i + a : i + b], word[i + a : i + b], n[i + a : i + b].astype(np.int64)) for p, a, b in _by_place(home[i:j], places)])
-        for whose, number, place, a, b, _, _ in asked:
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            key = _pair(a, b)
-            where = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            got = np.where(pairs[where] == key, counts[where], 0) if len(pairs) else np.zeros(len(key), np.int64)
-            known = np.zeros((0, 4), np.int64)
-            if level > 1:
-                own = a[np.concatenate([[True], a[1:] != a[:-1]])]
-                where = np.minimum(np.searchsorted(contexts, own), max(0, len(contexts) - 1))
-                known = np.where((contexts[where] == own)[:, None], stats[where], 0) if len(contexts) else np.zeros((len(own), 4), np.int64)
-            kind = np.uint32 if max(got.max(initial=0), known.max(initial=0)) < 1 << 32 else np.int64
-            yield _packets([_row(_REPLY, level, whose, number, place, got.astype(kind), known.astype(kind))])
+        return _batched(rows(train, asked))
 
     return run
 
@@ -380,81 +529,87 @@ def _cuts(n: np.ndarray) -> np.ndarray:
 def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], held: list[str], places: int):
     """Statistics and log10 probability of each row, from a slice's data and the answers that it got."""
 
-    def score(batch: pa.RecordBatch, model: int, replies: dict) -> np.ndarray:
-        p = None
+    def score(words: Words, model: int, replies: dict) -> np.ndarray:
+        rows = np.repeat(np.arange(len(words.sizes)), words.sizes)
         if (1, model) not in totals:
-            return np.zeros(batch.num_rows)
+            return np.zeros(len(words.sizes))
+        p = 1 / OPEN_TYPES
         for level in (1, 2, 3):
-            context, *_, rank, first = _asks(level, batch, seeds[model])
-            cut = _cuts(totals[level, model])
-            got = []
-            for place, i, j in _by_place(context, places):
-                kind = np.uint32 if len(replies[level, place][0]) == 4 * (j - i) else np.int64
-                c, stats = (np.frombuffer(x, kind).astype(np.int64) for x in replies[level, place])
-                got.append((c, stats.reshape(-1, 4)))
-            c = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in got)])
             if level == 1:
-                stats = np.repeat(totals[1, model][None, 4:8], len(c), 0)
+                context, each = words.ones(seeds[model])
+                pair = context
+            else:
+                context, word, _ = words.grams(level, seeds[model])
+                pair = _pair(context, word)
+            first, _, place, rank = _distinct(pair, _places(context, places))
+            cut, total = _cuts(totals[level, model]), totals[level, model][None, 4:8]
+            c = np.concatenate([np.zeros(0, np.int64), *(_wide(replies[level, q][0], j - i) for q, i, j in _by_place(place))])
+            if level == 1:
+                c, stats, which = c[rank][each], total, np.zeros(len(each), np.int64)
             else:
-                stats = np.concatenate([np.zeros((0, 4), np.int64), *(x for _, x in got)])
-                stats = stats[np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]) - 1]
+                c = c[rank]
+                own, _, place, which = _distinct(context, _places(context, places))
+                stats = np.concatenate([np.zeros((0, 4), np.int64), *(_wide(replies[level, q][1], 4 * (j - i)).reshape(-1, 4) for q, i, j in _by_place(place))])
             total = np.maximum(stats[:, 0], 1)
-            own = (c - cut[np.minimum(c, 3)]) / total
             left = np.where(stats[:, 0] > 0, (stats[:, 1] * cut[1] + stats[:, 2] * cut[2] + stats[:, 3] * cut[3]) / total, 1.0)
-            p = own[rank] + left[rank] * (1 / OPEN_TYPES if p is None else p)
-        n = np.diff(first)
+            p = (c - cut[np.minimum(c, 3)]) / total[which] + left[which] * p
         # Sums by row in the order of its words, whatever rows are beside it.
-        return np.bincount(np.repeat(np.arange(len(n)), n), weights=np.log10(p), minlength=len(n))
+        return np.bincount(rows, weights=np.log10(p), minlength=len(words.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(data, model, some, replies):
-            batch = _unpack(data)
-            batch = _good(batch, labelled=True) if some else batch
-            log10 = score(batch, model, replies) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*held, *_NAMES[:-1]]), pa.array(log10, pa.float64()), pa.array([bool(some)] * batch.num_rows)], names=[*held, *_NAMES, "probe"])
-
-        now, data, model, some, replies = None, None, -1, False, {}
+        def done(data, packed, marks, model, some, replies):
+            batch, words = _unpack(data), Words.unpacked(packed)
+            labelled, good = _marks(marks, batch.num_rows)
+            quality = pa.array(good.astype(np.int32), mask=~labelled)
+            if some:
+                batch, words, quality = batch.filter(pa.array(labelled)), words.where(labelled), quality.filter(pa.array(labelled))
+            log10 = score(words, model, replies) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), quality, *(batch.column(c) for c in _NAMES[:-1]), pa.array(log10, pa.float64()), pa.array([bool(some)] * batch.num_rows, pa.bool_())], names=[*held, "quality", *_NAMES, "probe"])
+
+        now, data, replies = None, None, {}
         for rows in batches:
-            for kind, level, whose, number, place, a, b in zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "model", "slice", "place", "a", "b")), strict=True):
+            for kind, level, whose, number, place, a, b, n in zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "model", "slice", "place", "a", "b", "n")), strict=True):
                 if number != now:
                     if data is not None:
-                        yield from done(data, model, some, replies)
+                        yield from done(*data, replies)
                     now, data, replies = number, None, {}
                 if kind == _DATA:
-                    data, model, some = a, whose, place
+                    data = a, b, n, whose, place
                 else:
                     replies[level, place] = a, b
         if data is not None:
-            yield from done(data, model, some, replies)
+            yield from done(*data, replies)
 
     return run
 
 
-def asked(slices: DataFrame, models: list[str], held: list[str], schema: StructType) -> DataFrame:
-    """The rows of slices (slice, data, train, ask, some) that ask, with log10 probabilities.
+def asked(slices: DataFrame, models: list[str], size: int, held: list[str], schema: StructType) -> DataFrame:
+    """The rows of slices (slice, data, words, marks, train, ask, some) that ask, with log10 probabilities.
 
     train and ask are places in models or null: the model that a slice's good rows are counted in, and the one that its
-    rows (if some: only labelled ones) ask. Without models the logs are 0.
+    rows (if some: only labelled ones) ask. Without models the logs are 0. size: bytes of text that count or ask; there
+    are as many places as it has slices, so that small inputs in many partitions don't send a packet for every few words.
     """
     spark = slices.sparkSession
-    places, seeds = partitions(spark), [_seed(x) for x in models]
+    places, seeds = max(1, min(partitions(spark), -(-size // SLICE))), [_seed(x) for x in models]
     tables, totals, above = [], {}, []
     for level in (3, 2, 1) if models else ():
         # Places take turns, so that not all packets are there at once.
-        turns, mine = TURNS if level > 1 else 1, []
+        turns, mine = max(1, min(TURNS[level], -(-size // TURN))), []
         for turn in range(turns):
-            source = slices.mapInArrow(_ask(level, seeds, places, turn, turns), _PACKET)
+            source = slices.select("slice", "words", "marks", "train", "ask", "some").where("ask is not null" if level < 3 else "true").mapInArrow(_ask(level, seeds, places, turn, turns), _PACKET)
             for x in above:
                 source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") % turns == turn)))
             mine.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
+            del source
             release(spark)
         above = mine
         tables += mine
         for x in mine:
             for r in x.where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
                 totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
-    columns = ["kind", "level", "model", "slice", "place", "a", "b"]
-    data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("b"))
+    columns = ["kind", "level", "model", "slice", "place", "a", "b", "n"]
+    data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.col("words").alias("b"), F.col("marks").alias("n"))
     for x in tables:
         data = data.unionByName(x.where(F.col("kind") == _REPLY).select(columns))
     out = durable(data.repartition("slice").sortWithinPartitions("slice").mapInArrow(_finish(totals, seeds, held, places), schema), "scored")
@@ -536,27 +691,34 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     spark = docs.sparkSession
     src = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"_carry{k}") for k, c in enumerate(carry)])
     known = labels.where("quality in (0, 1)").select(F.col(id).alias("id"), F.col("quality").cast("int").alias("quality")).where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
-    rows = src.join(known, "id", "left").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int"))
-    held = [c for c in src.columns if c != "text"] + ["quality"]
-    schema = StructType([rows.schema[c] for c in held] + _parse(f"{_STATISTICS}, probe boolean").fields)
-    slices = durable(rows.mapInArrow(_cut, "slice long, lang string, half int, size long, data binary"), "slices")
+    # Texts stay where they are: labels go to them as two bits a row.
+    rows = src.withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int"))
+    held = [c for c in src.columns if c != "text"]
+    schema = StructType([src.schema[c] for c in held] + _parse(f"quality int, {_STATISTICS}, probe boolean").fields)
+    cut = StructType(_parse("slice long, lang string, half int, size long, data binary, words binary").fields + [StructField("ids", ArrayType(src.schema["id"].dataType))])
+    slices = durable(rows.mapInArrow(_cut, cut), "slices")
+    found = slices.select("slice", F.size("ids").alias("n"), F.posexplode("ids").alias("at", "id")).join(known, "id")
+    found = found.groupBy("slice", "n").agg(F.collect_list(2 * F.col("at") + F.col("quality")).alias("labels"))
+    marks = durable(found.mapInArrow(_mark, "slice long, marks binary, good long"), "marks")
+    slices, stored = slices.drop("ids").join(F.broadcast(marks), "slice", "left"), (slices, marks)  # two bits a document
+    del found, rows
     release(spark)
-    there = slices.groupBy("lang", "half").agg(F.sum("size").alias("size")).collect()  # two rows a language
-    trained = src.select("id", "lang").join(known.where("quality = 1"), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).cast("int")).select("lang", "half").distinct().collect()
+    there = slices.groupBy("lang", "half").agg(F.sum("size").alias("size"), F.sum("good").alias("good")).collect()  # two rows a language
+    trained = [r for r in there if r.good]
     models = {(r.lang, r.half) for r in trained if r.lang is not None} | {(ALL, r.half) for r in trained}
     # Who asks whom: the other half of the own language, else of all together, else nobody.
     size = {(r.lang, r.half): r.size for r in there}
     asks = {x: next((m for m in ((x[0], 1 - x[1]), (ALL, 1 - x[1])) if m in models), None) for x in size}
+    own = lambda m: sum(n for x, n in size.items() if x == m or asks[x] == m or (m[0] == ALL and (blank or x[1] == m[1])))
     blank = any(x[0] is None for x in size)  # their bands are of all labelled rows
     waves: list[list[tuple[str, int]]] = [[x] for x in sorted(m for m in models if m[0] == ALL and (blank or m in asks.values()))]
     room = 0
     for m in sorted((m for m in set(asks.values()) if m and m[0] != ALL), key=lambda m: (-size.get(m, 0), m)):
-        own = size.get(m, 0) + sum(n for x, n in size.items() if asks[x] == m)
-        if own > room:
+        if own(m) > room:
             waves.append([])
             room = max(WAVE, max(size.values()))
         waves[-1].append(m)
-        room -= own
+        room -= own(m)
     if None in asks.values():
         waves.append([])
     pick = lambda of: reduce(lambda c, x: c.when(F.col("lang").eqNullSafe(F.lit(x[0][0])) & (F.col("half") == x[0][1]), F.lit(x[1])), of.items(), F.when(F.lit(False), F.lit(0)))
@@ -569,10 +731,11 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
             train = F.when(F.col("half") == wave[0][1], F.lit(0))
             if blank:
                 some = (F.col("half") == 1 - wave[0][1]) & ask.isNull()
-        chosen = slices.select("slice", "data", train.alias("train"), F.coalesce(ask, F.when(some, F.lit(0))).alias("ask"), some.alias("some"))
-        parts.append(asked(chosen.where("train is not null or ask is not null"), [f"{x} {half}" for x, half in wave], held, schema))
+        chosen = slices.select("slice", "data", "words", "marks", train.alias("train"), F.coalesce(ask, F.when(some, F.lit(0))).alias("ask"), some.alias("some"))
+        parts.append(asked(chosen.where("train is not null or ask is not null"), [f"{x} {half}" for x, half in wave], sum(own(m) for m in wave), held, schema))
         release(spark)
-    drop_durable(slices)
+    for x in stored:
+        drop_durable(x)
     out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     tried = out.where("quality is not null and n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").withColumn("value", -F.col("log10") / F.col("n_words"))
     bands = _bands(tried.where("not probe and lang is not null").select("lang", "value", "quality"))
