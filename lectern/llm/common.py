@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,16 @@ def drop_durable(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def release(spark: SparkSession, wait: bool = False) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; wait: before it returns.
+
+    The plan that was last run is still referred to for a moment, so only a second collection finds its shuffles.
+    """
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        spark._jvm.System.gc()
+        if wait:
+            time.sleep(0.3)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -32,7 +32,7 @@ SLICE = 4 << 20
 #: Bytes of text whose models are built and asked at once, if no model has more: it bounds the space, not the result.
 WAVE = 1 << 27
 #: Turns that the places of a level take at most, which bounds the space as well, and the bytes of text that add a turn.
-TURNS, TURN = {3: 4, 2: 2, 1: 1}, 1 << 26
+TURNS, TURN = {3: 5, 2: 3, 1: 1}, 1 << 26
 #: Good labelled rows that a language's bands need: of fewer, nothing follows about the next one.
 LEAST_GOOD = 5
 #: Word types that the probability of unknown words is spread over.
@@ -423,8 +423,9 @@ def _ask(level: int, seeds: list[np.uint64], places: int, turn: int, turns: int)
         if kind == _TRAIN:
             n = _narrow(n)
             for p, a, b in _by_place(place):
-                i = first[a:b]
-                yield _row(_TRAIN, level, model, -1, p, context[i], word[i], n[a:b], before[i])
+                by = np.argsort(before[first[a:b]])  # equal words side by side take less space
+                i = first[a:b][by]
+                yield _row(_TRAIN, level, model, -1, p, context[i], word[i], n[a:b][by], before[i])
             return
         pair = pair[first]
         own = np.sort(context) if level > 1 else _NONE
@@ -500,9 +501,8 @@ def _count(level: int, places: int):
             n = np.diff(np.append(at, len(order)))
             order = order[at]
             home, word, of = home[order], word[order], model[order]
-            key = of.astype(np.int64) * places + _places(home, places)
-            order = np.argsort(key, kind="stable")
-            for k, i, j in _by_place(key[order]):
+            order = np.lexsort((home, of))  # so by place as well
+            for k, i, j in _by_place(of[order].astype(np.int64) * places + _places(home[order], places)):
                 at = order[i:j]
                 yield _row(_TRAIN, level - 1, k // places, -1, k % places, home[at], word[at] if level == 3 else _NONE, _narrow(n[at]))
         for whose, number, place, a, b, *_ in asked:
@@ -602,7 +602,7 @@ def asked(slices: DataFrame, models: list[str], size: int, held: list[str], sche
                 source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") % turns == turn)))
             mine.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
             del source
-            release(spark)
+            release(spark, wait=turns > 1)
         above = mine
         tables += mine
         for x in mine:
@@ -612,10 +612,15 @@ def asked(slices: DataFrame, models: list[str], size: int, held: list[str], sche
     data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.col("words").alias("b"), F.col("marks").alias("n"))
     for x in tables:
         data = data.unionByName(x.where(F.col("kind") == _REPLY).select(columns))
-    out = durable(data.repartition("slice").sortWithinPartitions("slice").mapInArrow(_finish(totals, seeds, held, places), schema), "scored")
+    # Slices take turns as well.
+    turns, parts = max(1, min(TURNS[3], -(-size // TURN))), []
+    for turn in range(turns):
+        own = data.where(F.col("slice") % turns == turn)
+        parts.append(durable(own.repartition("slice").sortWithinPartitions("slice").mapInArrow(_finish(totals, seeds, held, places), schema), "scored"))
+        release(spark, wait=turns > 1)
     for x in tables:
         drop_durable(x)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def student(share: float, freedom: int) -> float:
@@ -733,7 +738,6 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
                 some = (F.col("half") == 1 - wave[0][1]) & ask.isNull()
         chosen = slices.select("slice", "data", "words", "marks", train.alias("train"), F.coalesce(ask, F.when(some, F.lit(0))).alias("ask"), some.alias("some"))
         parts.append(asked(chosen.where("train is not null or ask is not null"), [f"{x} {half}" for x, half in wave], sum(own(m) for m in wave), held, schema))
-        release(spark)
     for x in stored:
         drop_durable(x)
     out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
