@@ -175,6 +175,20 @@ class Model:
         return np.bincount(np.repeat(np.arange(len(n)), n), weights=np.log10(np.maximum(p, 1e-12)), minlength=len(n))
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit keys.
+
+    Sorting numbers is several times faster than sorting their places, so the place of each key replaces its lowest bits;
+    where keys differ in these alone and come out in another order, places are sorted after all.
+    """
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).view(np.int64)
+    got = keys[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(keys, kind="stable")
+
+
 def repeated_words(words: np.ndarray, first: np.ndarray, size: int = 3) -> np.ndarray:
     """By row, words that lie in a window of size words which the row has twice or more."""
     rows = len(first) - 1
@@ -182,8 +196,8 @@ def repeated_words(words: np.ndarray, first: np.ndarray, size: int = 3) -> np.nd
     windows = tokens.shingles(words, size) if len(words) >= size else words[:0]
     inside = np.flatnonzero(row[: len(windows)] == row[size - 1 :])
     # Equal only in the same row.
-    h = windows[inside] + tokens.mix(row[inside].astype(np.uint64) + np.uint64(1))
-    order = np.argsort(h)
+    h = windows[inside] + tokens.mix(np.arange(1, rows + 1, dtype=np.uint64))[row[inside]]
+    order = _order(h)
     same = h[order[1:]] == h[order[:-1]]
     often = np.zeros(len(h), bool)
     often[order[1:][same]] = True
@@ -208,13 +222,13 @@ def _statistics(batch: pa.RecordBatch) -> tuple[list[pa.Array], Words]:
     starts, ends = tokens.spans(data, offsets)
     words = tokens.hash_words(data, starts, ends, lower=False)
     first = np.searchsorted(starts, offsets)
-    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    sizes = np.concatenate([[0], np.cumsum(leads[ends] - leads[starts])])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    sizes = np.concatenate([[0], np.cumsum(ends - starts)])
+    count = lambda those: np.diff(np.searchsorted(np.flatnonzero(those), offsets))
     columns = [
         np.diff(first),
-        sizes[first[1:]] - sizes[first[:-1]],
-        symbols[offsets[1:]] - symbols[offsets[:-1]],
+        # All bytes of words but those that continue a code point, which white space has none of.
+        sizes[first[1:]] - sizes[first[:-1]] - count((data & 0xC0) == 0x80),
+        count(_SYMBOL[data]),
         [duplicate_lines(t) for t in text.to_pylist()],
         repeated_words(words, first),
     ]
@@ -281,21 +295,31 @@ def _by_place(place: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(place[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(place)], strict=False)]
 
 
-def _distinct(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys, each once, by place and then by key: where each is first found, how often, its place, and for every key which of them it is.
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts keys, where runs begin in it, and how long they are."""
+    by = _order(keys)
+    at = _heads(keys[by])
+    return by, at, np.diff(np.append(at, len(by)))
+
+
+def _inverse(by: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of what by puts in order, where they were before."""
+    out = np.empty(len(by), np.int64)
+    out[by] = values
+    return out
 
-    Equal keys are of one place.
+
+def _distinct(keys: np.ndarray, home: np.ndarray, places: int, ranks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of keys, each once, by place and then by key: where each is first found, how often, its place, and (ranks) for every key which of them it is.
+
+    Equal keys are of one home, whose hash gives the place.
     """
-    by = np.argsort(keys)
-    at = _heads(keys[by])
-    n = np.diff(np.append(at, len(by)))
+    by, at, n = _by_key(keys)
     first = by[at]
-    order = np.argsort(place[first].astype(np.uint16 if place.max(initial=0) < 1 << 16 else np.int64), kind="stable")
-    position = np.empty(len(order), np.int64)
-    position[order] = np.arange(len(order))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.repeat(position, n)
-    return first[order], n[order], place[first[order]], rank
+    place = _places(home[first], places)
+    order = np.argsort(place.astype(np.uint16 if places < 1 << 16 else np.int64), kind="stable")
+    rank = _inverse(by, np.repeat(_inverse(order, np.arange(len(order))), n)) if ranks else None
+    return first[order], n[order], place[order], rank
 
 
 class Words:
@@ -306,11 +330,10 @@ class Words:
 
     @classmethod
     def of(cls, words: np.ndarray, sizes: np.ndarray) -> Words:
-        first, n, _, rank = _distinct(words, np.zeros(len(words), np.int64))
+        by, at, n = _by_key(words)
         order = np.argsort(-n, kind="stable")
-        code = np.empty(len(order), np.int64)
-        code[order] = np.arange(len(order))
-        return cls(words[first][order], code[rank], sizes)
+        code = _inverse(order, np.arange(len(order)))
+        return cls(words[by[at]][order], _inverse(by, np.repeat(code, n)), sizes)
 
     def packed(self) -> bytes:
         kind = np.dtype(np.uint16 if len(self.vocabulary) <= 1 << 16 else np.uint32)
@@ -334,11 +357,30 @@ class Words:
         there = np.bincount(self.codes, minlength=len(self.vocabulary)) > 0
         return tokens.mix(self.vocabulary[there] + seed), (np.cumsum(there) - 1)[self.codes]
 
-    def grams(self, level: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By word: the hashes of its context at a level above 1, of itself and of the word before."""
-        first = np.concatenate([[0], np.cumsum(self.sizes)])
-        one, two, _, at = _grams(self.vocabulary[self.codes], first, np.full(len(self.sizes), seed))
-        return two[at - 1] if level == 3 else one[at - 1], one[at], one[at - 1]
+    def _before(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers that stand before each word in its row; a blank, whose number follows the vocabulary, stands before the first."""
+        out = np.empty_like(codes)
+        out[1:] = codes[:-1]
+        out[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(self.vocabulary)
+        return out
+
+    def grams(self, level: int, seed: np.uint64, span: tuple[np.uint64, np.uint64] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By word: the hashes of its context at a level above 1, of itself and of the word before; span: the least and greatest hash of the contexts that count.
+
+        Words are hashed once each, and what isn't in the span only where its context is a pair.
+        """
+        known = np.append(self.vocabulary, np.uint64(0))
+        one, codes, before = tokens.mix(known + seed), self.codes, self._before(self.codes)
+        if level == 3:
+            context = (known * _A)[self._before(before)]
+            context += (known * _B + seed)[before]
+            context = tokens.mix(context)
+        if span is not None:
+            inside = lambda x: (x >= span[0]) & (x <= span[1])
+            now = np.flatnonzero(inside(context) if level == 3 else inside(one)[before])
+            codes, before, context = codes[now], before[now], context[now] if level == 3 else None
+        last = one[before]
+        return context if level == 3 else last, one[codes], last
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -405,21 +447,31 @@ def _marks(data: bytes | None, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.unpackbits(np.frombuffer(data, np.uint8), count=2 * rows).astype(bool).reshape(2, rows))
 
 
+def _turn(turn: int, turns: int, places: int) -> tuple[int, int]:
+    """The places whose turn it is: the first, and the one after the last."""
+    return turn * places // turns, (turn + 1) * places // turns
+
+
+def _span(first: int, end: int, places: int) -> tuple[np.uint64, np.uint64]:
+    """The least and the greatest hash of these places, which are some."""
+    least = lambda place: -(-(place << 32) // places) << 32
+    return np.uint64(least(first)), np.uint64(least(end) - 1)
+
+
 def _ask(level: int, seeds: list[np.uint64], places: int, turn: int, turns: int):
     """What slices ask of a level and, at the level of trigrams, what their good rows count there; of the places whose turn it is."""
+    span = _span(*_turn(turn, turns, places), places) if turns > 1 else None
 
     def taken(words: Words, seed: np.uint64, kind: int, model: int, number: int) -> Iterator[tuple]:
         if level == 1:
             word, _ = words.ones(seed)
+            if span is not None:
+                word = word[(word >= span[0]) & (word <= span[1])]
             context = before = word
         else:
-            context, word, before = words.grams(level, seed)
-        place = _places(context, places)
-        if turns > 1:
-            now = np.flatnonzero(place % turns == turn)
-            context, word, before, place = context[now], word[now], before[now], place[now]
+            context, word, before = words.grams(level, seed, span)
         pair = context if level == 1 else _pair(context, word)
-        first, n, place, _ = _distinct(pair, place)
+        first, n, place, _ = _distinct(pair, context, places)
         if kind == _TRAIN:
             n = _narrow(n)
             for p, a, b in _by_place(place):
@@ -463,9 +515,8 @@ def _found(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarra
 
 def _once(keys: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts keys, and where runs begin in it; keys are hashes of what stands beside them."""
-    order = np.argsort(keys)
-    at = _heads(keys[order])
-    run = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    order, at, n = _by_key(keys)
+    run = np.repeat(order[at], n)
     if any((x[order] != x[run]).any() for x in of):
         raise RuntimeError("two n-grams have the same hash")
     return order, at
@@ -487,9 +538,8 @@ def _count(level: int, places: int):
         c = np.add.reduceat(n[order], at) if len(at) else n
         order = order[at]
         pairs, context, word, before, model = (x[order] for x in (pairs, context, word, before, model))
-        order = np.argsort(context)
+        order, at, _ = _by_key(context)
         own = context[order]
-        at = _heads(own)
         sums = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0, np.int64) for x in (c, *((x.astype(np.int64)) for x in (c == 1, c == 2, c > 2)))]
         contexts, stats, whose = own[at], np.stack(sums, 1), model[order][at]
         for k in np.unique(model):
@@ -501,10 +551,12 @@ def _count(level: int, places: int):
             n = np.diff(np.append(at, len(order)))
             order = order[at]
             home, word, of = home[order], word[order], model[order]
-            order = np.lexsort((home, of))  # so by place as well
+            order = _order(home)
+            order = order[np.argsort(of[order], kind="stable")]  # so by place as well
             for k, i, j in _by_place(of[order].astype(np.int64) * places + _places(home[order], places)):
                 at = order[i:j]
                 yield _row(_TRAIN, level - 1, k // places, -1, k % places, home[at], word[at] if level == 3 else _NONE, _narrow(n[at]))
+        c, stats = _narrow(c), _narrow(stats)
         for whose, number, place, a, b, *_ in asked:
             got = _found(pairs, np.frombuffer(b, np.uint64), c)
             known = _found(contexts, np.frombuffer(a, np.uint64), stats)
@@ -533,7 +585,7 @@ def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], h
         rows = np.repeat(np.arange(len(words.sizes)), words.sizes)
         if (1, model) not in totals:
             return np.zeros(len(words.sizes))
-        p = 1 / OPEN_TYPES
+        # Once for each n-gram that the slice has; which is the one of each word.
         for level in (1, 2, 3):
             if level == 1:
                 context, each = words.ones(seeds[model])
@@ -541,20 +593,21 @@ def _finish(totals: dict[tuple[int, int], np.ndarray], seeds: list[np.uint64], h
             else:
                 context, word, _ = words.grams(level, seeds[model])
                 pair = _pair(context, word)
-            first, _, place, rank = _distinct(pair, _places(context, places))
-            cut, total = _cuts(totals[level, model]), totals[level, model][None, 4:8]
+            first, _, place, rank = _distinct(pair, context, places, ranks=True)
+            cut = _cuts(totals[level, model])
             c = np.concatenate([np.zeros(0, np.int64), *(_wide(replies[level, q][0], j - i) for q, i, j in _by_place(place))])
             if level == 1:
-                c, stats, which = c[rank][each], total, np.zeros(len(each), np.int64)
+                stats, of, below, which = totals[level, model][None, 4:8], np.zeros(len(first), np.int64), 1 / OPEN_TYPES, rank[each]
             else:
-                c = c[rank]
-                own, _, place, which = _distinct(context, _places(context, places))
+                by, at, n = _by_key(context[first])
+                place, of = _places(context[first[by[at]]], places), _inverse(by, np.repeat(np.arange(len(at)), n))
                 stats = np.concatenate([np.zeros((0, 4), np.int64), *(_wide(replies[level, q][1], 4 * (j - i)).reshape(-1, 4) for q, i, j in _by_place(place))])
+                below, which = p[which[first]], rank
             total = np.maximum(stats[:, 0], 1)
             left = np.where(stats[:, 0] > 0, (stats[:, 1] * cut[1] + stats[:, 2] * cut[2] + stats[:, 3] * cut[3]) / total, 1.0)
-            p = (c - cut[np.minimum(c, 3)]) / total[which] + left[which] * p
+            p = (c - cut[np.minimum(c, 3)]) / total[of] + left[of] * below
         # Sums by row in the order of its words, whatever rows are beside it.
-        return np.bincount(rows, weights=np.log10(p), minlength=len(words.sizes))
+        return np.bincount(rows, weights=np.log10(p)[which], minlength=len(words.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(data, packed, marks, model, some, replies):
@@ -595,11 +648,12 @@ def asked(slices: DataFrame, models: list[str], size: int, held: list[str], sche
     tables, totals, above = [], {}, []
     for level in (3, 2, 1) if models else ():
         # Places take turns, so that not all packets are there at once.
-        turns, mine = max(1, min(TURNS[level], -(-size // TURN))), []
+        turns, mine = max(1, min(TURNS[level], -(-size // TURN), places)), []
         for turn in range(turns):
+            first, end = _turn(turn, turns, places)
             source = slices.select("slice", "words", "marks", "train", "ask", "some").where("ask is not null" if level < 3 else "true").mapInArrow(_ask(level, seeds, places, turn, turns), _PACKET)
             for x in above:
-                source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") % turns == turn)))
+                source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") >= first) & (F.col("place") < end)))
             mine.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
             del source
             release(spark, wait=turns > 1)

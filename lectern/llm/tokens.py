@@ -17,14 +17,14 @@ _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER_VALUE = _VALUE[_LOWER]
 
 #: Bytes that are hashed at once; longer texts go through in blocks cut at white space.
 BLOCK = 1 << 20
+#: Hashes that are mixed at once: few enough to stay in a core's cache.
+MIXED = 1 << 14
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -40,11 +40,17 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = np.empty(len(x), np.uint64)
+    shifted = np.empty(min(MIXED, len(x)), np.uint64)
+    for i in range(0, len(x), MIXED):
+        of, to = x[i : i + MIXED], out[i : i + MIXED]
+        by = shifted[: len(to)]
+        np.bitwise_xor(of, np.right_shift(of, np.uint64(30), out=by), out=to)
+        np.multiply(to, np.uint64(0xBF58476D1CE4E5B9), out=to)
+        np.bitwise_xor(to, np.right_shift(to, np.uint64(27), out=by), out=to)
+        np.multiply(to, np.uint64(0x94D049BB133111EB), out=to)
+        np.bitwise_xor(to, np.right_shift(to, np.uint64(31), out=by), out=to)
+    return out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +70,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Starts and ends (bytes) of the words of all rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = (data - np.uint8(0x09) > 0x0D - 0x09) & (data != 0x20)  # bytes below 0x09 turn into great ones
     edge = np.empty(len(data) + 1, dtype=bool)
     edge[0], edge[-1] = word[0], word[-1]
     np.not_equal(word[1:], word[:-1], out=edge[1:-1])
