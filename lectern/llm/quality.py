@@ -646,26 +646,27 @@ def asked(slices: DataFrame, models: list[str], size: int, held: list[str], sche
     spark = slices.sparkSession
     places, seeds = max(1, min(partitions(spark), -(-size // SLICE))), [_seed(x) for x in models]
     tables, totals, above = [], {}, []
+    # Tables of all turns in one scan, whose tasks take files of several.
+    read = lambda some: spark.read.schema(_PACKET).parquet(*[x._lectern_path for x in some])
     for level in (3, 2, 1) if models else ():
         # Places take turns, so that not all packets are there at once.
         turns, mine = max(1, min(TURNS[level], -(-size // TURN), places)), []
         for turn in range(turns):
             first, end = _turn(turn, turns, places)
             source = slices.select("slice", "words", "marks", "train", "ask", "some").where("ask is not null" if level < 3 else "true").mapInArrow(_ask(level, seeds, places, turn, turns), _PACKET)
-            for x in above:
-                source = source.unionByName(x.where((F.col("kind") == _TRAIN) & (F.col("place") >= first) & (F.col("place") < end)))
+            if above:
+                source = source.unionByName(read(above).where((F.col("kind") == _TRAIN) & (F.col("place") >= first) & (F.col("place") < end)))
             mine.append(durable(source.repartition("place").mapInArrow(_count(level, places), _PACKET), f"level{level}"))
             del source
             release(spark, wait=turns > 1)
         above = mine
         tables += mine
-        for x in mine:
-            for r in x.where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
-                totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
+        for r in read(mine).where(F.col("kind") == _COUNTS).select("model", "a").collect():  # a row a place and model
+            totals[level, r.model] = totals.get((level, r.model), 0) + np.frombuffer(r.a, np.int64)
     columns = ["kind", "level", "model", "slice", "place", "a", "b", "n"]
     data = slices.where("ask is not null").select(F.lit(_DATA).alias("kind"), F.lit(0).alias("level"), F.col("ask").alias("model"), "slice", F.col("some").cast("int").alias("place"), F.col("data").alias("a"), F.col("words").alias("b"), F.col("marks").alias("n"))
-    for x in tables:
-        data = data.unionByName(x.where(F.col("kind") == _REPLY).select(columns))
+    if tables:
+        data = data.unionByName(read(tables).where(F.col("kind") == _REPLY).select(columns))
     # Slices take turns as well.
     turns, parts = max(1, min(TURNS[3], -(-size // TURN))), []
     for turn in range(turns):

@@ -460,6 +460,16 @@ def test_quality_is_the_same_in_turns(spark, documents, labels, monkeypatch):
     assert sum(what == "scored" for what, *_ in seen) == quality.TURNS[3]
 
 
+def test_quality_reads_the_tables_of_all_turns_at_once(spark, documents, labels, monkeypatch):
+    monkeypatch.setattr(quality, "TURN", 1 << 17)
+    monkeypatch.setattr(quality, "SLICE", 1 << 16)
+    seen = watched(monkeypatch)
+    quality.quality(documents.where("lang = 'en'"), labels).count()
+    # Slices, marks, and what all levels answered: once a scan for each turn of each level.
+    scans = [plan.split("Initial Plan")[0].count("FileScan parquet") for what, _, plan in seen if what == "scored"]
+    assert scans and max(scans) <= 3
+
+
 def test_quality_words_of_a_slice(spark):
     import numpy as np
 
